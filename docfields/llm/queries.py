@@ -6,18 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docfields.llm import mixing, quality_rules
+from docfields.llm import language_id, mixing, quality_rules, token_planes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file that op9 and the pipeline use; it lies outside the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """taken per document of a mix by weights 1, 2, 3; see mixing.mix_sources."""
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back; see warc.page_records."""
+    return warc.page_records(table(spark, sf_dir, "pages"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language per document; see language_id.held_out_languages."""
+    return language_id.held_out_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids written in plane files and read back; see token_planes."""
+    return token_planes.read_tokens(token_planes.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict per document; see quality_rules.quality_rules."""
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select(
@@ -27,7 +49,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_warc": op2_warc,
+    "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
+    "op9_token_planes": op9_token_planes,
 }
 
 ORACLE_SQL: dict[str, str] = {}
