@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docfields.llm import language_id, mixing, quality_rules, token_planes, warc
+from docfields.llm import decontamination, importance, language_id, mixing, quality_rules, token_planes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,17 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.held_out_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op7_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample of documents by importance; see importance.importance_sample."""
+    sample = importance.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return sample.select("doc_id", "log_weight", "key")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item occurs, and which; see decontamination.contaminated."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids written in plane files and read back; see token_planes."""
     return token_planes.read_tokens(token_planes.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path()))
@@ -52,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
+    "op7_importance": op7_importance,
+    "op8_decontamination": op8_decontamination,
     "op9_token_planes": op9_token_planes,
 }
 
