@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docfields.llm import decontamination, importance, jaccard_join, language_id, mixing, quality_rules, token_planes, warc
+from docfields.llm import decontamination, importance, jaccard_join, language_id, mixing, ngram_lm, quality_rules, token_planes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages"))
 
 
+def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base score and model score per document; see ngram_lm.score_texts."""
+    return ngram_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language per document; see language_id.held_out_languages."""
     return language_id.held_out_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
@@ -66,6 +71,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
+    "op3_ngram_lm": op3_ngram_lm,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op7_importance": op7_importance,
