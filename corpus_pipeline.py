@@ -1,23 +1,74 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again.
+
+Every stage takes what its predecessor kept, whole, and all but the last return the
+columns of documents. The stages, in order: language ID, n-gram Jaccard join, benchmark
+decontamination, mixing of sources to target weights, token-ID output.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docfields.llm.common import shared_path
+from docfields.llm.decontamination import decontaminated
+from docfields.llm.jaccard_join import jaccard_components
+from docfields.llm.language_id import UNDETERMINED, language_of, train
 from docfields.llm.mixing import mixed_documents
+from docfields.llm.queries import tokenizer_path
+from docfields.llm.token_planes import read_tokens, write_tokens
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: A document whose best language contains a smaller share of its n-grams than this is in none of them.
+LEAST_SCORE = 0.2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter (null and empty texts too) or in none of the languages
+    learned from all rows that name one; rows don't affect each other otherwise."""
+    filters = train(docs.select("lang", "text"))
+    told = docs.withColumn("__language", language_of(filters, F.col("text")))
+    sure = (F.col("__language.lang_pred") != UNDETERMINED) & (F.col("__language.score") >= LEAST_SCORE)
+    return told.where(sure).drop("__language")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of each component of linked documents, the one with the smallest doc_id.
+
+    Rows that repeat both doc_id and text are one document; rows without a doc_id, which
+    nothing can name, stay."""
+    found = jaccard_components(docs).where("component_id != doc_id").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return named.dropDuplicates(["doc_id", "text"]).union(docs.where("doc_id IS NULL"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which a benchmark item occurs."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources to target weights: each document as often as the mix takes it."""
     return mixed_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("mix", mix)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the ids of all documents and reads, per document, its place, length and checksum."""
+    return read_tokens(write_tokens(docs, tokenizer_path()))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+    ("tokens", tokens),
+]
+
+#: SQL can't express the stages; tests hold them against brute-force versions.
 ORACLE_SQL: str | None = None
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docfields.llm import decontamination, importance, jaccard_join, language_id, mixing, ngram_lm, quality_rules, token_planes, warc
+from docfields.llm import decontamination, importance, jaccard_join, language_id, mixing, ngram_lm, quality_rules, suffix_dedup, token_planes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.held_out_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated 400-byte strings removed from each document; see suffix_dedup.remove_repeats."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample of documents by importance; see importance.importance_sample."""
     sample = importance.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_lm": op3_ngram_lm,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_importance": op7_importance,
     "op8_decontamination": op8_decontamination,
     "op9_token_planes": op9_token_planes,
