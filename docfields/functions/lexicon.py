@@ -144,3 +144,16 @@ def ascii_images() -> tuple[str, str, dict[str, str]]:
         elif got:
             more[chr(code)] = got
     return "".join(one), "".join(image), more
+
+
+@cache
+def spelled_regex() -> str:
+    """Matches a character with an ASCII image of several characters; ASCII is told apart first, and
+    neighbours are ranges, as a class of single characters is tried one by one."""
+    codes = sorted(map(ord, ascii_images()[2]))
+    ranges, start = [], codes[0]
+    for a, b in zip(codes, [*codes[1:], -1], strict=True):
+        if b != a + 1:
+            ranges.append(f"\\x{{{start:x}}}-\\x{{{a:x}}}")
+            start = b
+    return rf"[[^\x00-\x7f]&&[{''.join(ranges)}]]"

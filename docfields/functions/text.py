@@ -16,8 +16,7 @@ def normalize_text(text: Column) -> Column:
     """ASCII image of compatibility decomposition, lower case, single blanks, trimmed."""
     one, image, more = lx.ascii_images()
     table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{got}" for c, got in more.items())), F.lit("\x01"), F.lit("\x02"))  # one literal, folded once
-    special = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in more) + "]"
-    spelled = F.when(text.rlike(special), F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(table[c], c)), "")).otherwise(text)
+    spelled = F.when(text.rlike(lx.spelled_regex()), F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(table[c], c)), "")).otherwise(text)
     plain = F.regexp_replace(F.translate(spelled, one, image), r"[^\x00-\x7f]", "")
     plain = F.when(text.rlike(r"[^\x00-\x7f]"), plain).otherwise(text)
     return F.trim(F.regexp_replace(F.lower(plain), r"[\s\x1c-\x1f]+", " "))

@@ -365,13 +365,3 @@ def q_error_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(turn == 0, 422).when(turn == 1, 500).when(turn == 2, 503).otherwise(404)
     body = F.when(F.col("event_id") % 3 == 0, "pdfinfo failed").when(F.col("event_id") % 3 == 1, "PaddleOCR died").otherwise("?")
     return e.select("event_id", results.error_message(code, body).alias("message"))
-
-
-@query()
-def q_extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All steps from lines to fields, rules and confidence; see operators.extract."""
-    from docfields.operators import extract
-
-    rows = layout.visual_rows(layout.detected_lines(synth.ocr_lines(spark, sf_dir), lx.LEAST_DETECTION)).persist()
-    found = amounts.settle(extract.fields_of(extract.selections(rows), rows))
-    return found.select("invoice_id", *lx.FIELDS, F.array_join("issues", "; ").alias("issues"), F.array_join("computed_fields", ",").alias("computed"), "amount_mismatch", F.round("confidence", 6).alias("confidence"))
