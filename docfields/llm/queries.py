@@ -86,4 +86,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WARC_SQL = """
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN keep END AS refers_to
+FROM (SELECT *, strlen(body) >= 1000 AND copies > 1 AND page_id <> keep AS again
+  FROM (SELECT page_id, body, max(page_id) OVER (PARTITION BY body) AS keep, count(*) OVER (PARTITION BY body) AS copies
+    FROM (SELECT page_id, coalesce(html, '') AS body FROM pages)))
+"""
+
+_STOPS = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+_RULES_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+m AS (
+  SELECT doc_id, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    len(list_filter(words, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN ({_STOPS}))) AS n_stop,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^\s*[-*•]'))) AS n_bullets, len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_dots FROM d),
+g AS (SELECT doc_id, i, words[i:i + 2] AS w FROM d, LATERAL (SELECT unnest(range(1, len(words) - 1)) AS i)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, w) AS c FROM g) WHERE c > 1) GROUP BY 1),
+x AS (SELECT m.*, coalesce(r.n, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(r.n, 0) > 50 * n_words AS base_failed FROM m LEFT JOIN r USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT base_failed AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / word_chars <= 0.1 AND n_stop / n_words >= 0.02 AND n_dup_lines / n_lines <= 0.3
+    AND n_bullets / n_lines <= 0.9 AND n_dots / n_lines <= 0.3 AS kept FROM x
+"""
+
+#: SQL of those queries that it can express; the others are held against plain versions in tests.
+ORACLE_SQL: dict[str, str] = {"op2_warc": _WARC_SQL, "op5_quality_rules": _RULES_SQL}
