@@ -7,9 +7,8 @@
 3. Of the rest, partners share one of their n - T + 1 rarest shingles. Components of that
    relation are blocks: no link crosses two of them.
 4. In a block, each set searches the inverted lists for sets that occur in T of its lists:
-   short lists are merged, long ones only probed for the candidates by binary search.
-   Candidates already connected to the set need no count, so the links found form a
-   spanning forest. A block of many sets is cut into sub-blocks: each is searched together
+   short lists are merged, long ones probed for the candidates by binary search. Links to
+   sets already connected are left out, so those found form a spanning forest. A block of many sets is cut into sub-blocks: each is searched together
    with the first; then the sets outside the block's largest component are searched in every
    sub-block. Of two sets in different components one is always such a set, so no link is lost.
 """
@@ -165,33 +164,42 @@ class InvertedLists:
         owner = np.repeat(np.arange(self.n), [len(s) for s in sets])
         self.keys = np.sort(rank.astype(np.int64) * self.n + owner)
         self.begin = np.searchsorted(self.keys, np.arange(len(self.values) + 1) * self.n)
-
-    def occurring(self, query: np.ndarray, least: int, limit: int) -> Iterator[tuple[int, int]]:
-        """(place, number of the query's lists it is in) of sets before limit that occur in
-        `least` lists or more (T-occurrence, DivideSkip)."""
+        self.owner = self.keys % self.n
+
+    def _merged(self, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """How many of the lists each place is in, by one pass over all of them."""
+        spots = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+        return np.bincount(self.owner[spots], minlength=self.n)
+
+    def occurring(self, query: np.ndarray, least: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, number of the query's lists each is in) of the sets before limit that are in
+        `least` lists or more (T-occurrence, DivideSkip). Short lists are merged; a set in too few of
+        them can't reach `least` with all long ones; for the others the long lists are probed by
+        binary search, or merged where that is less work."""
+        none = np.zeros(0, np.int64)
         rank = np.searchsorted(self.values, query)
-        rank = rank[rank < len(self.values)]
-        rank = rank[np.isin(self.values[rank], query)] if len(rank) else rank
-        rank = np.unique(rank)
+        rank = np.sort(rank[(rank < len(self.values)) & (self.values[np.minimum(rank, len(self.values) - 1)] == query)])
         begin = self.begin[rank]
         end = self.begin[rank + 1] if limit >= self.n else np.searchsorted(self.keys, rank * self.n + limit)
         length = end - begin
         rank, begin, length = rank[length > 0], begin[length > 0], length[length > 0]
         if len(rank) < least:
-            return
+            return none, none
         order = np.argsort(length, kind="stable")
         n_long = min(least - 1, int(least / (0.01 * np.log2(max(2, int(length.max()))) + 1)))
         short, long = order[: len(order) - n_long], order[len(order) - n_long :]
-        total = int(length[short].sum())
-        spots = np.repeat(begin[short] - np.concatenate([[0], np.cumsum(length[short])[:-1]]), length[short]) + np.arange(total)
-        places, counts = np.unique(self.keys[spots] % self.n, return_counts=True)  # the merge of the short lists
-        enough = counts >= least - n_long
-        places, counts = places[enough], counts[enough]
-        probes = rank[long] * self.n
-        for i in np.argsort(-counts, kind="stable"):
-            spot = np.searchsorted(self.keys, probes + places[i])
-            spot[spot == len(self.keys)] = 0
-            yield int(places[i]), lambda i=i, spot=spot: int(counts[i]) + int((self.keys[spot] == probes + places[i]).sum())
+        counts = self._merged(begin[short], length[short])
+        places = np.flatnonzero(counts >= max(1, least - n_long))
+        if not len(places):
+            return none, none
+        if len(places) * n_long * 16 < int(length[long].sum()):
+            probes = rank[long][:, None] * self.n + places[None, :]
+            spots = np.minimum(np.searchsorted(self.keys, probes), len(self.keys) - 1)
+            total = counts[places] + (self.keys[spots] == probes).sum(axis=0)
+        else:
+            total = (counts + self._merged(begin[long], length[long]))[places]
+        enough = total >= least
+        return places[enough], total[enough]
 
 
 def links(sizes: np.ndarray, sets: list[np.ndarray], known: list[int], queries: list[int] | None = None) -> list[tuple[int, int]]:
@@ -204,13 +212,9 @@ def links(sizes: np.ndarray, sets: list[np.ndarray], known: list[int], queries:
         forest.join(first.setdefault(c, i), i)
     index, out = InvertedLists(sets), []
     for q in range(len(sets)) if queries is None else queries:
-        least = needed(int(sizes[q]))
-        for c, count in index.occurring(sets[q], least, q if queries is None else index.n):
-            if forest.root(c) == forest.root(q):
-                continue
-            both = count()
-            if 100 * both >= PERCENT * (int(sizes[q]) + int(sizes[c]) - both):
-                forest.join(c, q)
+        places, both = index.occurring(sets[q], needed(int(sizes[q])), q if queries is None else index.n)
+        for c in places[100 * both >= PERCENT * (int(sizes[q]) + sizes[places] - both)].tolist():
+            if forest.join(c, q):
                 out.append((c, q))
     return out
 
