@@ -6,6 +6,9 @@ in slices of a few MB, so that memory stays bounded whatever a batch or a text h
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -14,7 +17,14 @@ _RNG = np.random.default_rng(20240229)
 TABLE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 BASE = 0x9E3779B97F4A7C15 | 5
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-SLICE = 2 << 20
+SLICE = 1 << 20
+
+#: glibc raises the size from which it maps blocks by themselves as such blocks are freed, and then keeps
+#: what workers free; fixed sizes (M_MMAP_THRESHOLD, M_TRIM_THRESHOLD) give memory back between groups.
+if sys.platform == "linux":
+    with contextlib.suppress(OSError, AttributeError):
+        for option, size in ((-3, 4 << 20), (-1, 16 << 20)):
+            ctypes.CDLL(None).mallopt(option, size)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -27,7 +37,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. n (modulo 2 ** 64), kept for later calls."""
     have = _POWERS.get(base)
     if have is None or len(have) <= n:
-        steps = np.full(max(n + 1, SLICE * 2), base, np.uint64)
+        steps = np.full(max(n + 1, SLICE + SLICE // 4), base, np.uint64)
         steps[0] = 1
         have = _POWERS[base] = np.cumprod(steps, dtype=np.uint64)
     return have[: n + 1]
