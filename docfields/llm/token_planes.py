@@ -26,22 +26,98 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docfields.llm import kernel
 from docfields.llm.common import materialize, pieces, shared_path, total_bytes
 
 MAGIC = b"DFPLANE1"
 FILES = "part int, path string, n_docs long, n_ids long"
 TOKENS = "doc_id long, start long, n_tokens long, ids_crc32 long"
-CACHE = 700_000
+CACHE = 2_500_000
+AT_ONCE = 2_000
 
-#: The byte-level pre-tokenizer's pattern, for texts of the characters in SAFE only.
-PIECES = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Characters for which classes of bytes tell letters, digits and marks apart.
 SAFE = re.compile(r"[\x00-\x1b\x20-\x7f\xc0-\xd6\xd8-\xf6\xf8-ſ]*")
+SPACE, LETTER, DIGIT, MARK, END = range(5)
+_CLASS = np.full(256, MARK, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
+_CLASS[48:58] = DIGIT
+_CLASS[65:91] = _CLASS[97:123] = LETTER
+_CLASS[128:] = LETTER  # parts of letters, in SAFE texts
+_CLASS[255] = END  # in no UTF-8 text; after each text here
+
+
+def cut(data: np.ndarray) -> np.ndarray:
+    """Starts of the pieces of the byte-level pre-tokenizer in SAFE texts, each followed by 0xFF
+    (which is a piece too): runs of letters, digits or marks, each with a blank before it; other
+    white space up to the last before something else; contractions after an apostrophe."""
+    kind = _CLASS[data]
+    start = np.ones(len(data), bool)
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start |= kind == END
+    last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] < END) & (kind[1:] != SPACE))
+    start[last] = True
+    start[last[data[last] == 32] + 1] = False
+    for at in np.flatnonzero((data == 39) & start):
+        if kind[at + 1] == LETTER:
+            two = data[at + 1 : at + 3].tobytes()
+            n = 1 if two[:1] in (b"s", b"d", b"m", b"t") else 2 if two in (b"ll", b"ve", b"re") else 0
+            if n:
+                start[at + 1] = False
+                if kind[at + 1 + n] == LETTER:
+                    start[at + 1 + n] = True
+    return np.flatnonzero(start)
+
+
+class PieceTable:
+    """Ids of pieces by hash, in sorted arrays: a large one and one of what came since."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = [np.zeros(0, np.uint64)] * 2
+        self.places = [np.zeros(0, np.int64)] * 2
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.n = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each piece, -1 for those not yet held."""
+        out = np.full(len(keys), -1, np.int64)
+        for own, places in zip(self.keys, self.places, strict=True):
+            if len(own):
+                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                np.copyto(out, places[at], where=own[at] == keys)
+        return out
+
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        """keys: sorted, none of them held."""
+        sizes = np.array([len(i) for i in ids], np.int32)
+        flat = np.fromiter((x for i in ids for x in i), np.uint32, int(sizes.sum()))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(keys) > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        own = slice(self.n, self.n + len(keys))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.size[own] = sizes
+        self.begin[own] = self.used + np.cumsum(sizes) - sizes
+        k, at = np.concatenate([self.keys[1], keys]), np.concatenate([self.places[1], np.arange(own.start, own.stop)])
+        if len(k) > 100_000 + len(self.keys[0]) // 4:
+            k, at = np.concatenate([self.keys[0], k]), np.concatenate([self.places[0], at])
+            order = np.argsort(k, kind="stable")
+            self.keys, self.places = [k[order], np.zeros(0, np.uint64)], [at[order], np.zeros(0, np.int64)]
+        else:
+            order = np.argsort(k, kind="stable")
+            self.keys[1], self.places[1] = k[order], at[order]
+        self.used += len(flat)
+        self.n += len(keys)
 
 
 class Encoder:
-    """Ids by the tokenizers library. Pieces that its pre-tokenizer makes are encoded once each
-    and kept (at most CACHE of them); a text with other characters or with the string of a
-    special token is encoded whole."""
+    """Ids by the tokenizers library. The pre-tokenizer's pieces of a text are encoded once each and
+    held by hash (at most about CACHE of them); a text with characters outside SAFE, or with the
+    string of a special token, is encoded whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,21 +127,48 @@ class Encoder:
         self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
         spec = json.loads(self.own.to_str())
         step = spec.get("pre_tokenizer") or {}
-        self.by_piece = spec.get("normalizer") is None and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and spec["model"].get("type") == "BPE"
-        self.kept: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        plain = [self.by_piece and (t.isascii() and not re.search("[\x1c-\x1f]", t) or SAFE.fullmatch(t) is not None) and not any(s in t for s in self.special) for t in texts]
-        cut = [PIECES.findall(t) if ok else () for t, ok in zip(texts, plain, strict=True)]
-        new = set().union(*cut)
-        if len(self.kept) + len(new) > CACHE:
-            self.kept.clear()
-        new = [p for p in new if p not in self.kept]
-        for piece, got in zip(new, self.own.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.kept[piece] = np.array(got.ids, "<u4").tobytes()
-        find = self.kept.__getitem__
-        return [b"".join(map(find, c)) if ok else np.array(self.own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, ok, c in zip(texts, plain, cut, strict=True)]
+        self.by_piece = (
+            spec.get("normalizer") is None and spec["model"].get("type") == "BPE"
+            and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space")
+        )
+        self.table = PieceTable()
+
+    def _plain(self, text: str) -> bool:
+        return self.by_piece and SAFE.fullmatch(text) is not None and not any(s in text for s in self.special)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        plain = [self._plain(t) for t in texts]
+        pieced = iter(self._by_pieces([t.encode() for t, ok in zip(texts, plain, strict=True) if ok]))
+        return [next(pieced) if ok else np.array(self.own.encode(t, add_special_tokens=False).ids, np.uint32) for t, ok in zip(texts, plain, strict=True)]
+
+    def _by_pieces(self, texts: list[bytes]) -> list[np.ndarray]:
+        if not texts:
+            return []
+        raw = b"\xff".join([*texts, b""])
+        data = np.frombuffer(raw, np.uint8)
+        begin = cut(data)
+        end = np.append(begin[1:], len(data))
+        real = data[begin] != 255
+        text = np.cumsum(~real)[real]  # number of texts that ended before each piece
+        begin, end = begin[real], end[real]
+        keys, first, inverse = np.unique(kernel.span_hash(kernel.prefix_hash(data), begin, end), return_index=True, return_inverse=True)
+        if self.table.n + len(keys) > CACHE:
+            self.table.clear()
+        place = self.table.find(keys)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            strings = [raw[a:b].decode() for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
+            ids: list[list[int]] = []
+            for at in range(0, len(strings), AT_ONCE):  # what the library returns takes about 1 KB a piece
+                ids += [e.ids for e in self.own.encode_batch_fast(strings[at : at + AT_ONCE], add_special_tokens=False)]
+            place[new] = np.arange(self.table.n, self.table.n + len(new))
+            self.table.add(keys[new], ids)
+        size, start = self.table.size[place][inverse], self.table.begin[place][inverse]
+        stop = np.cumsum(size, dtype=np.int64)
+        spots = np.repeat(start - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
+        of_text = np.bincount(text, size, len(texts)).astype(np.int64)
+        return np.split(self.table.flat[spots], np.cumsum(of_text)[:-1])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -172,10 +275,10 @@ class PlaneFile:
             yield doc_id, length, crc
 
 
-def _writer(folder: str, tokenizer: str, end_id: int, block_ids: int, bits: bool, level: int, slice_bytes: int = 2 << 20):
+def _writer(folder: str, tokenizer: str, end_id: int, block_ids: int, bits: bool, level: int, slice_bytes: int = 1 << 20):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, name, writer = TaskContext.get().partitionId(), f"{uuid.uuid4().hex}.planes", None
-        encode, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer), np.array([end_id], np.uint32)
         store, base = fs.FileSystem.from_uri(folder)
         for batch in batches:
             if writer is None:
@@ -187,8 +290,8 @@ def _writer(folder: str, tokenizer: str, end_id: int, block_ids: int, bits: bool
                 texts.append(batch.column(1)[i].as_py() or "")
                 size += len(texts[-1])
                 if size >= slice_bytes or i == batch.num_rows - 1:
-                    for doc_id, data in zip(ids, encode(texts), strict=True):
-                        writer.add(doc_id, np.frombuffer(data + end, "<u4"))
+                    for doc_id, own in zip(ids, encode(texts), strict=True):
+                        writer.add(doc_id, np.concatenate([own, end]))
                     ids, texts, size = [], [], 0
         if writer is not None:
             writer.close()
