@@ -12,7 +12,7 @@ counted, and the answers go to the chunk. Both ways give the same scores.
 P(w | h) = a * min(c(h w), c(h)) / c(h) + (1 - a) * (c(w) + 1) / (N + V + 1), without the
 first part where c(h) is 0; 1 - a is the share of word pairs seen once in training, the
 Good-Turing estimate of the mass of pairs not seen. The start of a text is a context, its
-end a word.
+end a word. base_score is the sum of log10((c(w) + 1) / (N + 1 * (V + 1))) with exact counts.
 """
 
 from __future__ import annotations
@@ -191,7 +191,7 @@ def _scorer(n_buckets: int, v: int, n: int, mass: float, filter_):
                     levels[kind][at] = blobs.unpack_small(told[kind, b])
         word, context = own.word[own.second], own.word[own.second - 1]
         count, seen = exact[word], means[levels[WORD_LEVELS]]
-        base = np.log10((count + 1) / (float(n + 1) * (v + 1)))
+        base = np.log10((count + 1) / (n + (v + 1)))
         lower = (seen[word] + 1) / (n + v + 1)
         before = seen[context]
         with np.errstate(invalid="ignore", divide="ignore"):
