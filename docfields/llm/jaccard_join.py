@@ -7,10 +7,10 @@
 3. Of the rest, partners share one of their n - T + 1 rarest shingles. Components of that
    relation are blocks: no link crosses two of them.
 4. In a block, each set searches the inverted lists for sets that occur in T of its lists:
-   short lists are merged, long ones probed for the candidates by binary search. Links to
-   sets already connected are left out, so those found form a spanning forest. A block of many sets is cut into sub-blocks: each is searched together
-   with the first; then the sets outside the block's largest component are searched in every
-   sub-block. Of two sets in different components one is always such a set, so no link is lost.
+   short lists are merged, long ones probed for the candidates by binary search. Every link
+   counts for both its sets, as often as the other has rows; a forest of links is kept for the
+   components. A block of many sets is cut into sub-blocks: each is searched in itself, and
+   each two of them one against the other, so that every pair of sets is met once.
 """
 
 from __future__ import annotations
@@ -202,48 +202,54 @@ class InvertedLists:
         return places[enough], total[enough]
 
 
-def links(sizes: np.ndarray, sets: list[np.ndarray], known: list[int], queries: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that connect what isn't yet connected: a forest that spans the same components as all links.
-
-    sizes, sets: of each place, in ascending size; known: component of each place so far;
-    queries: places to search for among all others; without, all are, each among those before it."""
-    forest, first = Forest(len(sets)), {}
-    for i, c in enumerate(known):
-        forest.join(first.setdefault(c, i), i)
-    index, out = InvertedLists(sets), []
-    for q in range(len(sets)) if queries is None else queries:
-        places, both = index.occurring(sets[q], needed(int(sizes[q])), q if queries is None else index.n)
-        for c in places[100 * both >= PERCENT * (int(sizes[q]) + sizes[places] - both)].tolist():
-            if forest.join(c, q):
-                out.append((c, q))
-    return out
+def links(sizes: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, asked: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(a forest of links that spans the components of all links, rows linked to each place).
+
+    sizes, sets, copies: of each place, in ascending size, with its number of rows; asked: whether
+    a place is searched for among those that aren't; without, all are, each among those before it."""
+    forest, out, linked = Forest(len(sets)), [], np.zeros(len(sets), np.int64)
+    held = np.arange(len(sets)) if asked is None else np.flatnonzero(~asked)
+    queries = held if asked is None else np.flatnonzero(asked)
+    if not len(held) or not len(queries):
+        return out, linked
+    index = InvertedLists([sets[i] for i in held])
+    for q in queries.tolist():
+        places, both = index.occurring(sets[q], needed(int(sizes[q])), q if asked is None else index.n)
+        found = held[places]
+        found = found[100 * both >= PERCENT * (int(sizes[q]) + sizes[found] - both)]
+        linked[q] += copies[found].sum()
+        linked[found] += copies[q]
+        out += [(c, q) for c in found.tolist() if forest.join(c, q)]
+    return out, linked
 
 
-LINKS = "a long, b long"
+#: links of the forest (n 0), and rows that the links of a set a reach (b null)
+LINKS = "a long, b long, n long"
 
 
 def _search(table: pa.Table) -> pa.Table:
-    """Links of every block of a task. Rows: block, k, n, shared, known, role (0 only looked for in, 1 searched
-    for against all, 2 all among each other)."""
-    out: list[tuple[int, int]] = []
+    """LINKS of every block of a task. Rows: block, k, n, shared, copies, role (0 only looked for in, 1 searched
+    for among those, 2 all among each other)."""
+    out: list[tuple[int, int | None, int]] = []
     blocks = table.column("block").to_numpy()
     order = np.lexsort((table.column("k").to_numpy(), table.column("n").to_numpy(), blocks))
     table = table.take(pa.array(order))
     blocks, sizes, ks = blocks[order], table.column("n").to_numpy(), table.column("k").to_numpy()
-    roles, known = table.column("role").to_numpy(), table.column("known").to_pylist()
+    roles, copies = table.column("role").to_numpy(), table.column("copies").to_numpy()
     sets = [np.frombuffer(s, np.uint64) for s in table.column("shared").to_pylist()]
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]])
     for a, b in zip(cuts, cuts[1:], strict=False):
-        asked = [int(i) for i in np.flatnonzero(roles[a:b] == 1)]
-        found = links(sizes[a:b], sets[a:b], known[a:b], asked if roles[a] < 2 else None)
-        out += [(int(ks[a + c]), int(ks[a + q])) for c, q in found]
-    return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+        found, linked = links(sizes[a:b], sets[a:b], copies[a:b], roles[a:b] == 1 if roles[a] < 2 else None)
+        out += [(int(ks[a + c]), int(ks[a + q]), 0) for c, q in found]
+        out += [(int(ks[a + i]), None, int(linked[i])) for i in np.flatnonzero(linked)]
+    return pa.table([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["a", "b", "n"])
 
 
-def set_links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) between different sets, by their d1: a spanning forest (steps 3 and 4)."""
-    some = sets.where("shared IS NOT NULL").dropDuplicates(["d1", "d2", "n"]).select(F.col("d1").alias("k"), "n", "shared", "prefix")
-    some = materialize(some, "candidates")
+def set_links(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """LINKS between different sets, by their d1 (steps 3 and 4); classes: e1, e2, m, copies of each set."""
+    some = sets.where("shared IS NOT NULL").dropDuplicates(["d1", "d2", "n"])
+    some = some.join(classes, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("m")))
+    some = materialize(some.select(F.col("d1").alias("k"), "n", "shared", "prefix", "copies"), "candidates")
     postings = some.select("k", "shared", "prefix").mapInArrow(_postings, "h long, k long")
     lists = postings.groupBy("h").agg(F.min("k").alias("m"), F.max("k").alias("x")).where("m != x").select(F.col("h").alias("g"), "m")
     edges = postings.join(lists, F.col("h") == F.col("g")).select(F.col("k").alias("a"), F.col("m").alias("b"))
@@ -253,33 +259,35 @@ def set_links(sets: DataFrame) -> DataFrame:
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     sizes = sizes.select(F.col("root").alias("block"), F.ceil(F.col("size") / SUB_BLOCK).cast("int").alias("n_sub"))
     rows = some.join(roots, F.col("k") == F.col("a")).join(sizes, F.col("root") == F.col("block"))
-    rows = rows.select("block", "k", "n", "shared", "n_sub", F.pmod(F.xxhash64("k"), F.col("n_sub").cast("long")).cast("int").alias("sub"))
+    rows = rows.select("block", "k", "n", "shared", "copies", "n_sub", F.pmod(F.xxhash64("k"), F.col("n_sub").cast("long")).cast("int").alias("sub"))
     rows = materialize(rows, "block-rows")
     n_tasks = pieces(rows.count(), SUB_BLOCK, 12)
 
-    whole = rows.where("n_sub = 1").withColumn("task", F.pmod(F.xxhash64("block"), F.lit(n_tasks))).withColumn("known", F.col("k"))
-    cut = rows.where("n_sub > 1")
-    spread = F.when(F.col("sub") == 0, F.sequence(F.lit(1), F.col("n_sub") - 1)).otherwise(F.array("sub"))
-    first = cut.withColumn("task", F.explode(spread)).withColumn("task", F.xxhash64("block", "task")).withColumn("known", F.col("k"))
-    columns = ["task", "block", "k", "n", "shared", "known", "role"]
-    tasks = whole.withColumn("role", F.lit(2)).select(columns).union(first.withColumn("role", F.lit(2)).select(columns))
-    found = materialize(tasks.groupBy("task").applyInArrow(_search, LINKS), "links")
-    if cut.isEmpty():
-        return found
-
-    roots = components(found)
-    named = cut.join(roots, F.col("k") == F.col("a"), "left").withColumn("known", F.coalesce("root", "k")).drop("a", "root")
-    named = materialize(named, "block-components")
-    largest = named.groupBy("block", "known").agg(F.count(F.lit(1)).alias("size")).groupBy("block").agg(F.max(F.struct("size", "known")).alias("top"))
-    others = named.join(largest.select("block", F.col("top.known").alias("top")), "block").where("known != top").drop("top")
-    others = others.withColumn("batch", F.lit(0))
-    groups = others.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / SUB_BLOCK).cast("int").alias("n_batch"))
-    others = others.join(groups, "block").withColumn("batch", F.pmod(F.xxhash64(F.lit(1), "k"), F.col("n_batch").cast("long")).cast("int"))
-    asking = others.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1))).withColumn("role", F.lit(1))
-    asked = named.join(groups, "block").withColumn("batch", F.explode(F.sequence(F.lit(0), F.col("n_batch") - 1))).withColumn("role", F.lit(0))
-    tasks = asking.select("block", "sub", "batch", "k", "n", "shared", "known", "role").union(asked.select("block", "sub", "batch", "k", "n", "shared", "known", "role"))
-    tasks = tasks.withColumn("task", F.xxhash64("block", "sub", "batch")).select(columns)
-    return found.union(materialize(tasks.groupBy("task").applyInArrow(_search, LINKS), "links"))
+    columns = ["task", "block", "k", "n", "shared", "copies", "role"]
+    whole = rows.where("n_sub = 1").withColumn("task", F.pmod(F.xxhash64("block"), F.lit(n_tasks))).withColumn("role", F.lit(2))
+    cut = rows.where("n_sub > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1)))
+    cut = cut.withColumn("task", F.xxhash64("block", F.least("sub", "other"), F.greatest("sub", "other")))
+    cut = cut.withColumn("role", F.when(F.col("sub") == F.col("other"), 2).otherwise((F.col("sub") > F.col("other")).cast("int")))
+    tasks = whole.select(columns).union(cut.select(columns))
+    return materialize(tasks.groupBy("task").applyInArrow(_search, LINKS), "links")
+
+
+def jaccard_links(docs: DataFrame) -> DataFrame:
+    """jaccard_components(docs) and n_links: the number of other rows that a row links to, copies included."""
+    sets = shingle_sets(docs)
+    classes = sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("m"), "low", "copies"), "set-classes")
+    found = set_links(sets, classes.select("e1", "e2", "m", "copies"))
+    roots = components(found.where("b IS NOT NULL").select("a", "b"))
+    linked = found.where("b IS NULL").groupBy(F.col("a").alias("l")).agg(F.sum("n").alias("linked"))
+    placed = classes.join(roots, F.col("e1") == F.col("a"), "left").withColumn("root", F.coalesce("root", "e1"))
+    named = placed.groupBy("root").agg(F.min("low").alias("component"), F.sum("copies").alias("members")).where("members > 1")
+    named = placed.join(named.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).join(linked, F.col("e1") == F.col("l"), "left")
+    named = named.select("e1", "e2", "m", "component", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
+    out = sets.join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("m")), "left")
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")
+    )
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -292,13 +300,4 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     component (without any id in it, component_id is null). An empty table gives an empty
     result; other columns don't matter.
     """
-    sets = shingle_sets(docs)
-    roots = components(set_links(sets))
-    classes = sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
-    placed = classes.join(roots, F.col("d1") == F.col("a"), "left").withColumn("root", F.coalesce("root", "d1"))
-    named = placed.groupBy("root").agg(F.min("low").alias("component"), F.sum("copies").alias("members")).where("members > 1")
-    named = placed.join(named.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(
-        F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("m"), "component"
-    )
-    out = sets.join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("m")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return jaccard_links(docs).drop("n_links")

@@ -69,8 +69,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents that link; see jaccard_join.jaccard_components."""
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+    """Components of documents that link, and the number of links of each; see jaccard_join.jaccard_links."""
+    return jaccard_join.jaccard_links(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,8 +1,11 @@
 """Cases in which operators once did less than the whole job."""
 
 import math
+import random
 
-from docfields.llm import ngram_lm
+import pytest
+
+from docfields.llm import jaccard_join, ngram_lm
 from tests.llm import brute
 
 
@@ -15,3 +18,22 @@ def test_base_score_is_add_one_smoothed(spark):
     n, v = 4, 3
     want = [(2, 2, 1, 1), (0, 1), (1, 2, 1), (1,)]
     assert sorted(round(r.base_score, 9) for r in got) == sorted(round(sum(math.log10((c + 1) / (n + v + 1)) for c in cs), 9) for cs in want)
+
+
+@pytest.mark.parametrize("sub_block", [1500, 3])
+def test_every_link_counts(spark, monkeypatch, sub_block):
+    """A group whose texts all link, chains of links, copies, and rows without an id."""
+    monkeypatch.setattr(jaccard_join, "SUB_BLOCK", sub_block)
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(100)]
+    texts = [" ".join([*base[:-1], f"end{i}"]) for i in range(12)]
+    texts += [" ".join(base[4 * i :] + base[: 4 * i]) for i in range(10)]
+    texts += [" ".join(base[: 60 + 5 * i]) for i in range(9)] + [texts[0], texts[0], texts[15], "one two", "One two", "a", None, "", " "]
+    rows = [(None if i % 9 == 5 else i, t) for i, t in enumerate(texts)]
+    sets = [brute.shingles(t) for _, t in rows]
+    near = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b)
+    links = [sum(near(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    want = [(d, n, c if c is not None else d, m) for (d, n, c), m in zip(brute.components(rows), links, strict=True)]
+    got = jaccard_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert sum(links) > 2 * len(rows)
