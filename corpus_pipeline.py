@@ -12,9 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfields.llm.common import shared_path
+from docfields.llm.common import WORD, materialize, shared_path
 from docfields.llm.decontamination import decontaminated
-from docfields.llm.jaccard_join import jaccard_components
+from docfields.llm.jaccard_join import jaccard_rows
 from docfields.llm.language_id import UNDETERMINED, language_of, train
 from docfields.llm.mixing import mixed_documents
 from docfields.llm.queries import tokenizer_path
@@ -36,13 +36,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each component of linked documents, the one with the smallest doc_id.
-
-    Rows that repeat both doc_id and text are one document; rows without a doc_id, which
-    nothing can name, stay."""
-    found = jaccard_components(docs).where("component_id != doc_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return named.dropDuplicates(["doc_id", "text"]).union(docs.where("doc_id IS NULL"))
+    """Keeps, of each component of linked documents, one row: the one with the smallest doc_id,
+    of those that share it the one with the smallest hash of its text; one without a doc_id only
+    where none has any.
+
+    Rows are told apart by doc_id and text; those that repeat both are one document, except that
+    texts without a word link to nothing, so all of them that have no doc_id stay."""
+    rows = materialize(jaccard_rows(docs).where("root IS NOT NULL").select("root", F.col("doc_id").alias("d"), "h").distinct(), "linked-rows")
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("x"), "d", "h")).alias("least"))
+    lost = rows.join(least.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).where("NOT (d <=> least.d AND h = least.h)").select("d", "h").distinct()
+    key = lambda d, h: [F.coalesce(d, F.lit(0)).alias("__d"), d.isNull().alias("__x"), h.alias("__h")]
+    bare = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    told = docs.where(~bare).select("*", *key(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+    # the join's keys are among those of dropDuplicates, so documents are shuffled once
+    kept = told.join(lost.select(*key(F.col("d"), F.col("h"))), ["__d", "__x", "__h"], "left_anti").dropDuplicates(["__d", "__x", "__h", "text"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where(bare))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

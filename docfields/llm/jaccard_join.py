@@ -30,7 +30,8 @@ WORDS = 5
 PERCENT = 75
 SUB_BLOCK = 1500
 
-SETS = "doc_id long, n long, d1 long, d2 long, shared binary, prefix int"
+#: h: hash of the text as it is
+SETS = "doc_id long, h long, n long, d1 long, d2 long, shared binary, prefix int"
 
 
 def needed(n: int) -> int:
@@ -52,8 +53,9 @@ def _digests(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sets_of(table: pa.Table) -> tuple[list[int | None], list[np.ndarray], np.ndarray, list[int]]:
-    """(ids, sets, digests, place of the first row of each different set) of a chunk, smallest id first."""
-    table = table.sort_by([("doc_id", "ascending")])
+    """(ids, sets, digests, place of the first row of each different set) of a chunk, smallest id first.
+
+    table: in the order of doc_id."""
     ids = table.column("doc_id").to_pylist()
     sets = kernel.word_sets([(t or "").encode() for t in table.column("text").to_pylist()], WORDS)
     digests = _digests(sets)
@@ -68,7 +70,7 @@ def _asker(n_buckets: int):
 
     def ask(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
-        _, sets, _, firsts = _sets_of(table)
+        _, sets, _, firsts = _sets_of(table.sort_by("doc_id"))
         every = np.concatenate([sets[i] >> blobs.HASH_SHIFT for i in firsts])
         values, counts = np.unique(every, return_counts=True)
         out = [(chunk, b, blobs.pack_sorted(q), np.packbits(counts[at] > 1).tobytes()) for b, at, q in blobs.by_bucket(values, n_buckets)]
@@ -93,6 +95,7 @@ def _candidates(n_buckets: int):
     holds its shingles that occur elsewhere, rarest first, and prefix how many of them decide."""
 
     def settle(table: pa.Table, answers: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
         ids, sets, digests, firsts = _sets_of(table)
         values = np.unique(np.concatenate([sets[i] >> blobs.HASH_SHIFT for i in firsts])) if firsts else np.zeros(0, np.uint64)
         df = np.zeros(len(values), np.uint8)
@@ -109,9 +112,9 @@ def _candidates(n_buckets: int):
                 shared[i] = hashes[np.argsort(own[some], kind="stable")].tobytes()
                 prefix[i] = spare + 1
         signed = digests.view(np.int64)
-        cols = (ids, [len(s) for s in sets], signed[:, 0], signed[:, 1], shared, prefix)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n", "d1", "d2", "shared", "prefix"])
+        cols = (ids, table.column("h"), [len(s) for s in sets], signed[:, 0], signed[:, 1], shared, prefix)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+        return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "h", "n", "d1", "d2", "shared", "prefix"])
 
     return settle
 
@@ -119,6 +122,7 @@ def _candidates(n_buckets: int):
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """SETS of all rows of docs (steps 1 and 2), as a written table."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
     size = total_bytes(rows)
     n_buckets = pieces(size, blobs.BUCKET_BYTES)
     dealt = blobs.with_chunk(rows, pieces(size, blobs.CHUNK_BYTES))
@@ -272,8 +276,9 @@ def set_links(sets: DataFrame, classes: DataFrame) -> DataFrame:
     return materialize(tasks.groupBy("task").applyInArrow(_search, LINKS), "links")
 
 
-def jaccard_links(docs: DataFrame) -> DataFrame:
-    """jaccard_components(docs) and n_links: the number of other rows that a row links to, copies included."""
+def jaccard_rows(docs: DataFrame) -> DataFrame:
+    """Columns of jaccard_links, h, the xxhash64 of the row's text, and root, which tells components apart
+    even where ids repeat (null: no link)."""
     sets = shingle_sets(docs)
     classes = sets.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.col("n").alias("m"), "low", "copies"), "set-classes")
@@ -283,11 +288,17 @@ def jaccard_links(docs: DataFrame) -> DataFrame:
     placed = classes.join(roots, F.col("e1") == F.col("a"), "left").withColumn("root", F.coalesce("root", "e1"))
     named = placed.groupBy("root").agg(F.min("low").alias("component"), F.sum("copies").alias("members")).where("members > 1")
     named = placed.join(named.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).join(linked, F.col("e1") == F.col("l"), "left")
-    named = named.select("e1", "e2", "m", "component", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
+    named = named.select("e1", "e2", "m", "root", "component", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
     out = sets.join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("m")), "left")
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links")
-    )
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        "h", "root",
+    )
+
+
+def jaccard_links(docs: DataFrame) -> DataFrame:
+    """jaccard_components(docs) and n_links: the number of other rows that a row links to, copies included."""
+    return jaccard_rows(docs).drop("h", "root")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 
+import corpus_pipeline
 import pytest
 
 from docfields.llm import jaccard_join, ngram_lm
@@ -37,3 +38,15 @@ def test_every_link_counts(spark, monkeypatch, sub_block):
     got = jaccard_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert sum(links) > 2 * len(rows)
+
+
+def test_near_duplicates_by_row(spark):
+    """Ids that repeat with other texts, and copies without ids."""
+    rng = random.Random(6)
+    a, b, t, u, v = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(60)) for _ in range(5))
+    rows = [(3, a), (5, a), (5, b), (7, t), (7, t + " more"), (None, u), (None, u), (None, v), (9, v), (None, None), (None, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    seven = [r for r in got if r[0] == 7]
+    assert len(seven) == 1 and seven[0][1] in (t, t + " more")
+    assert sorted(map(str, got)) == sorted(map(str, [(3, a), (5, b), *seven, (None, u), (9, v), (None, None), (None, None), (8, "")]))
