@@ -4,7 +4,8 @@ An item of m normalised characters may occur with up to e = floor(rate * m) edit
 split into e + 1 pieces; in any such occurrence one piece is untouched, so every
 occurrence has an exact hit of a piece. An Aho-Corasick automaton finds all hits of all
 pieces in one pass over a text; around each hit Myers' algorithm gives the smallest edit
-distance of the whole item to any part of the surroundings. Items are taken in blocks of
+distance of the whole item to any part of the surroundings. Short items, of fewer than
+least_chars characters, count only where they occur without edits, between blanks. Items are taken in blocks of
 bounded size, every block against all rows; documents are never shuffled.
 """
 
@@ -65,10 +66,10 @@ class Myers:
 class Matcher:
     """Automaton of all pieces of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, least_chars: int) -> None:
         import ahocorasick
 
-        self.items = [(item_id, text, int(rate * len(text))) for item_id, text in items]
+        self.items = [(item_id, text, int(rate * len(text)) if len(text) - 2 >= least_chars else 0) for item_id, text in items]
         self.verifiers: dict[int, Myers] = {}
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, edits) in enumerate(self.items):
@@ -111,22 +112,22 @@ class Matcher:
 _MATCHERS: dict[int, Matcher] = {}
 
 
-def _matcher(block: Broadcast, rate: float) -> Matcher:
+def _matcher(block: Broadcast, rate: float, least_chars: int) -> Matcher:
     """The worker's automaton for a block; built once in each worker."""
-    key = hash((rate, *block.value))
+    key = hash((rate, least_chars, *block.value))
     if key not in _MATCHERS:
         if len(_MATCHERS) >= 4:
             _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(block.value, rate)
+        _MATCHERS[key] = Matcher(block.value, rate, least_chars)
     return _MATCHERS[key]
 
 
-def _scan(block: Broadcast, rate: float):
+def _scan(block: Broadcast, rate: float, least_chars: int):
     """Arrow function: normalised texts to the matches of a block's items."""
 
     @F.arrow_udf(MATCHES)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = _matcher(block, rate)
+        matcher = _matcher(block, rate, least_chars)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
         for batch in batches:
             yield pa.array([matcher.find(t.as_py()) for t in batch], kind)
@@ -134,10 +135,10 @@ def _scan(block: Broadcast, rate: float):
     return run
 
 
-def item_blocks(benchmark: DataFrame, least_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(benchmark: DataFrame, block_chars: int, nameless: bool) -> Iterator[list[tuple[int | None, str]]]:
     """Normalised items in blocks of at most block_chars characters (a longer item is a block by itself)."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), normalised(F.col("text")).alias("text"))
-    rows = rows.where(F.col("item_id").isNotNull() & (F.length("text") - 2 >= least_chars))
+    rows = rows.where((F.length("text") > 2) & (F.col("item_id").isNotNull() | F.lit(nameless)))
     block, held = [], 0
     for item_id, text in rows.toLocalIterator():
         if block and held + len(text) > block_chars:
@@ -149,15 +150,16 @@ def item_blocks(benchmark: DataFrame, least_chars: int, block_chars: int) -> Ite
         yield block
 
 
-def matches_of(spark: SparkSession, benchmark: DataFrame, text: Column, *, rate: float = RATE, least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS) -> Column:
+def matches_of(spark: SparkSession, benchmark: DataFrame, text: Column, *, rate: float = RATE, least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS, nameless: bool = False) -> Column:
     """array<struct<item_id, distance>> of the items that occur in a text; empty if none does.
 
-    Null and empty texts match nothing. Items with a null id, a null text or fewer than
-    least_chars normalised characters are not looked for; items with the same text are all
+    Null and empty texts match nothing. Items of fewer than least_chars normalised characters
+    match without edits only; items with a null id are looked for only if nameless, those
+    without a letter or digit never; items with the same text are all
     reported, rows with the same item_id once each. An empty benchmark matches nothing. Rows
     don't affect each other, so repeats, null doc_ids and other columns need no care.
     """
-    columns = [_scan(spark.sparkContext.broadcast(block), rate)(normalised(text)) for block in item_blocks(benchmark, least_chars, block_chars)]
+    columns = [_scan(spark.sparkContext.broadcast(block), rate, least_chars)(normalised(text)) for block in item_blocks(benchmark, block_chars, nameless)]
     return F.concat(*columns) if columns else F.array().cast(MATCHES)
 
 
@@ -168,5 +170,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs in which no item occurs, with their columns."""
-    return docs.where(F.size(matches_of(docs.sparkSession, benchmark, F.col("text"), **options)) == 0)
+    """The rows of docs in which no item occurs, with an id or without, with their columns."""
+    return docs.where(F.size(matches_of(docs.sparkSession, benchmark, F.col("text"), nameless=True, **options)) == 0)

@@ -6,7 +6,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from docfields.llm import jaccard_join, ngram_lm
+from docfields.llm import decontamination, jaccard_join, ngram_lm
 from tests.llm import brute
 
 
@@ -50,3 +50,10 @@ def test_near_duplicates_by_row(spark):
     seven = [r for r in got if r[0] == 7]
     assert len(seven) == 1 and seven[0][1] in (t, t + " more")
     assert sorted(map(str, got)) == sorted(map(str, [(3, a), (5, b), *seven, (None, u), (9, v), (None, None), (None, None), (8, "")]))
+
+
+def test_short_and_nameless_items(spark):
+    docs = spark.createDataFrame([(1, "so: What is A+B? yes"), (2, "what is a c"), (3, "somewhat is a b"), (4, "It held the nameless item of this benchmark."), (5, None), (6, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "What is a b?"), (None, "the nameless item of this benchmark"), (8, ""), (9, "?"), (None, None)], "item_id long, text string")
+    assert [tuple(r) for r in decontamination.contaminated(docs, items).collect()] == [(1, 7, 0)]
+    assert sorted(r.doc_id for r in decontamination.decontaminated(docs, items).collect()) == [2, 3, 5, 6]
