@@ -39,7 +39,7 @@ _FOLD[0xC2] = 32  # lead byte of Latin-1 signs; letters of that block but three
 
 
 def gram_bins(text: bytes | np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Bin of every n-gram of a text: n bytes of a word with the blank before or after it."""
+    """Bin of every n-gram of a text: n bytes of a word with the blank before or after it, or with both."""
     data = _FOLD[np.frombuffer(text, np.uint8)] if isinstance(text, bytes) else text
     wide = data.astype(np.uint64)
     blank = data == 32
@@ -54,7 +54,6 @@ def gram_bins(text: bytes | np.ndarray, bits: int = BITS) -> np.ndarray:
             code = (code << np.uint64(8)) | wide[j : j + m]
             if 0 < j < n - 1:
                 inner |= blank[j : j + m]
-        inner |= blank[:m] & blank[n - 1 :]
         code = code[~inner] * np.uint64(0x9E3779B97F4A7C15)
         out.append((code >> np.uint64(64 - bits)).astype(np.int64))
     return np.concatenate(out) if out else np.zeros(0, np.int64)

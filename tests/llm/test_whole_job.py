@@ -6,7 +6,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from docfields.llm import decontamination, jaccard_join, ngram_lm
+from docfields.llm import decontamination, jaccard_join, language_id, ngram_lm
 from tests.llm import brute
 
 
@@ -57,3 +57,12 @@ def test_short_and_nameless_items(spark):
     items = spark.createDataFrame([(7, "What is a b?"), (None, "the nameless item of this benchmark"), (8, ""), (9, "?"), (None, None)], "item_id long, text string")
     assert [tuple(r) for r in decontamination.contaminated(docs, items).collect()] == [(1, 7, 0)]
     assert sorted(r.doc_id for r in decontamination.decontaminated(docs, items).collect()) == [2, 3, 5, 6]
+
+
+def test_language_of_single_letters(spark):
+    rows = [(i, t, k) for i in range(40) for t, k in [("a thing i had", "en"), ("y la casa o", "es")]]
+    rows += [(None, "A.", None), (None, "y, O!", None), (None, "7 !", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = language_id.train(docs.select("lang", "text"))
+    assert [(p, n) for p, s, n in language_id.predict(filters, ["A.", "y, O!", "7 !"]) if s > 0.9 or not n] == [("en", 1), ("es", 2), ("und", 0)]
+    assert all(len(language_id.gram_bins(f" {c} ".encode())) for c in "azé")
