@@ -106,6 +106,40 @@ def label_regex(field: str) -> str:
     return r"\b(?:" + "|".join(_literal(f) for f in forms(field)) + r")\b"
 
 
+def _tree(words: frozenset[str]) -> str:
+    """Matches any of the words, one branch for each first letter, so that few are tried in vain."""
+    by_first: dict[str, set[str]] = {}
+    for w in words - {""}:
+        by_first.setdefault(w[0], set()).add(w[1:])
+    branches = [_literal(c) + _tree(frozenset(rest)) for c, rest in sorted(by_first.items())]
+    if not branches:
+        return ""
+    inner = branches[0] if len(branches) == 1 and "" not in words else "(?:" + "|".join(branches) + ")"
+    return inner + "?" if "" in words else inner
+
+
+def _whole(words: frozenset[str]) -> str:
+    """Matches any of the words with word boundaries at both ends, in the ASCII normal form. Spelled with
+    look-arounds, as a boundary mark inside an alternation is tried at every letter."""
+    closed = frozenset(w for w in words if w[-1:].isalnum())
+    ends = [_tree(closed) + "(?![a-z0-9_])"] if closed else []
+    ends += [_tree(words - closed) + "(?=[a-z0-9_])"] if words - closed else []
+    return "(?<![a-z0-9_])(?:" + "|".join(ends) + ")"
+
+
+@cache
+def label_tree(field: str | None = None) -> str:
+    """The same as label_regex, for Java, as a tree of letters; without a field, labels of any."""
+    return _whole(frozenset(f for own in ((field,) if field else FIELDS) for f in forms(own)))
+
+
+@cache
+def any_label_tree() -> str:
+    """The same as any_label_regex, for Java."""
+    last = "(?<![a-z0-9_])(?:" + "|".join(LABEL_LAST) + r")(?![a-z0-9_])[.\s]*$"
+    return "|".join([_tree(frozenset(LABEL_PARTS)), _whole(frozenset(LABEL_WORDS)), last])
+
+
 @cache
 def relaxed_regex(field: str) -> str:
     """Matches a normal form whose words contain those of a label in order, others between."""

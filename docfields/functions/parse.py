@@ -34,13 +34,15 @@ def format_amount(value: Column) -> Column:
 
 def extract_amount(text: Column) -> Column:
     """First amount of a text: currencies and percentages go; of comma and point the later one is
-    the decimal mark; a single comma is one if at most three digits follow."""
-    x = F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
-    x = F.regexp_replace(x, "TND|DT|€|\\$|£", "")
-    x = F.regexp_replace(x, r"-?\d[\d.,]*\s*%", "")
-    x = F.trim(F.regexp_replace(x, r"[^\d,.\-\s]", ""))
+    the decimal mark; a single comma is one if at most three digits follow. Texts without a digit
+    have none and aren't read further."""
+    x = F.when(text.rlike(r"(?U)[\s\x1c-\x1f&&[^ ]]"), F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " ")).otherwise(text)
+    # fixed values: currencies; percentages; what may be part of a number; a number
+    x = F.regexp_replace(x, r"TND|DT|€|\$|£", "")
+    x = F.when(x.contains("%"), F.regexp_replace(x, r"-?\d[\d.,]*\s*%", "")).otherwise(x)
+    x = F.regexp_replace(x, r"[^\d,.\-\s]", "")
     x = F.replace(F.nullif(F.regexp_extract(x, r"(-?\d[\d\s.,]*\d|-?\d)", 1), F.lit("")), F.lit(" "), F.lit(""))
-    return let(x, _amount)
+    return F.when(text.rlike("[0-9]"), let(x, _amount))
 
 
 def _amount(x: Column) -> Column:
@@ -84,4 +86,4 @@ def extract_date(text: Column, norm: Column) -> Column:
             _iso(F.regexp_extract(norm, named, 3), table[F.regexp_extract(norm, named, 2)], F.regexp_extract(norm, named, 1))
         )
 
-    return let(F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " ")), read)
+    return F.when(text.rlike("[0-9]"), let(F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " ")), read))

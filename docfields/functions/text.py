@@ -19,12 +19,17 @@ def normalize_text(text: Column) -> Column:
     spelled = F.when(text.rlike(lx.spelled_regex()), F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(table[c], c)), "")).otherwise(text)
     plain = F.regexp_replace(F.translate(spelled, one, image), r"[^\x00-\x7f]", "")
     plain = F.when(text.rlike(r"[^\x00-\x7f]"), plain).otherwise(text)
-    return F.trim(F.regexp_replace(F.lower(plain), r"[\s\x1c-\x1f]+", " "))
+    return _single_blanks(F.lower(plain), r"[\s\x1c-\x1f]+")
+
+
+def _single_blanks(text: Column, space: str) -> Column:
+    """Runs of white space as one blank, trimmed; texts that have only single blanks, as most lines do, are only trimmed."""
+    return F.trim(F.when(text.rlike(r"[\t-\r\x1c-\x1f]|  |[^\x00-\x7f]"), F.regexp_replace(text, space, " ")).otherwise(text))
 
 
 def collapse_text(text: Column) -> Column:
     """Single blanks for white space of any kind, trimmed; letters stay."""
-    return F.trim(F.regexp_replace(text, SPACE, " "))
+    return _single_blanks(text, SPACE)
 
 
 def latin_ratio(text: Column) -> Column:
@@ -43,7 +48,14 @@ def strip_noise(text: Column) -> Column:
 
 def contains_label(norm: Column, field: str) -> Column:
     """Whether a normal form contains a label of the field as whole words."""
-    return norm.rlike(lx.label_regex(field))
+    return norm.rlike(lx.label_tree(field))
+
+
+def label_fields(norm: Column) -> Column:
+    """Fields that a normal form has a label of, in order. Most texts have none: one pattern of all
+    labels is tried before those of each field."""
+    each = F.array_compact(F.array(*[F.when(contains_label(norm, f), F.lit(f)) for f in lx.FIELDS]))
+    return F.when(norm.rlike(lx.label_tree()), each).otherwise(F.array().cast("array<string>"))
 
 
 def contains_label_relaxed(norm: Column, field: str) -> Column:
@@ -52,7 +64,7 @@ def contains_label_relaxed(norm: Column, field: str) -> Column:
 
 
 def looks_like_label(norm: Column) -> Column:
-    return norm.rlike(lx.any_label_regex())
+    return norm.rlike(lx.any_label_tree())
 
 
 def looks_like_date(norm: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docfields.functions import lexicon as lx
-from docfields.functions.parse import format_amount, parse_decimal, try_decimal
+from docfields.functions.parse import format_amount, let, parse_decimal, try_decimal
 
 #: Tolerances, rate bounds and penalties.
 VALIDATION_GAP, RECONCILE_GAP = "0.50", "0.02"
@@ -22,13 +22,22 @@ def _present(*amounts: Column) -> Column:
     return sum((a.isNotNull().cast("int") for a in amounts[1:]), amounts[0].isNotNull().cast("int"))
 
 
+def _parsed(parse) -> Column:
+    """The four amounts as numbers, in a struct: rules read each many times, so it is worked out once."""
+    return F.struct(*[parse(F.col(c)).alias(c) for c in lx.AMOUNTS])
+
+
 def _empty(name: str) -> Column:
     return F.coalesce(F.length(F.col(name)), F.lit(0)) == 0
 
 
 def issues() -> Column:
     """Messages about the eight fields, in fixed order: amounts if two of three are there, then what is missing."""
-    ht, tva, taxe, ttc = (try_decimal(F.col(c)) for c in lx.AMOUNTS)
+    return let(_parsed(try_decimal), _issues)
+
+
+def _issues(parsed: Column) -> Column:
+    ht, tva, taxe, ttc = (parsed[c] for c in lx.AMOUNTS)
     zero = _number("0")
     expected = ht + tva + F.coalesce(taxe, zero)
     rate = tva / ht
@@ -60,7 +69,11 @@ def reconciled(confidences: Column | None = None) -> Column:
     they don't add up without it, at most twice the larger part); else a mismatch, and nothing
     is overwritten. Two: the third, if both come with enough confidence (absent: 1) and it
     isn't negative (a total may be)."""
-    ht, tva, taxe, ttc = (parse_decimal(F.col(c)) for c in lx.AMOUNTS)
+    return let(_parsed(parse_decimal), lambda parsed: _reconciled(parsed, confidences))
+
+
+def _reconciled(parsed: Column, confidences: Column | None) -> Column:
+    ht, tva, taxe, ttc = (parsed[c] for c in lx.AMOUNTS)
     zero, tax = _number("0"), F.coalesce(taxe, _number("0"))
     sure = lambda name: F.lit(True) if confidences is None else F.coalesce(F.try_element_at(confidences, F.lit(name)), F.lit(1.0)) >= lx.LEAST_CONFIDENCE
     three = ht.isNotNull() & tva.isNotNull() & ttc.isNotNull()
@@ -82,7 +95,11 @@ def reconciled(confidences: Column | None = None) -> Column:
 def validated() -> Column:
     """struct of the four amounts, corrected: with three that don't add up to 0.50, a VAT equal to the
     net amount is what is left of the total, else the total is their sum; with two, the third."""
-    ht, tva, taxe, ttc = (parse_decimal(F.col(c)) for c in lx.AMOUNTS)
+    return let(_parsed(parse_decimal), _validated)
+
+
+def _validated(parsed: Column) -> Column:
+    ht, tva, taxe, ttc = (parsed[c] for c in lx.AMOUNTS)
     zero, tax = _number("0"), F.coalesce(taxe, _number("0"))
     three = ht.isNotNull() & tva.isNotNull() & ttc.isNotNull()
     off = three & (F.abs(ht + tva + tax - ttc) > _number(VALIDATION_GAP))
@@ -97,14 +114,14 @@ def validated() -> Column:
 def collision() -> Column:
     """Whether two of the four amounts are the same number."""
     found = F.array_compact(F.array(*[parse_decimal(F.col(c)) for c in lx.AMOUNTS]))
-    return F.size(F.array_distinct(found)) < F.size(found)
+    return let(found, lambda each: F.size(F.array_distinct(each)) < F.size(each))
 
 
 def confidence(confidences: Column, told: Column) -> Column:
     """Mean of the fields' positive confidences less penalties: one per issue, by its first kind, and
     one if two or more of the three amounts are still missing; within 0..1, 0 without any field."""
     scores = F.filter(F.array(*[F.coalesce(F.try_element_at(confidences, F.lit(f)), F.lit(0.0)) for f in lx.FIELDS]), lambda s: s > 0)
-    base = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s) / F.nullif(F.size(scores), F.lit(0))
+    base = let(scores, lambda own: F.aggregate(own, F.lit(0.0), lambda a, s: a + s) / F.nullif(F.size(own), F.lit(0)))
 
     def penalty(issue: Column) -> Column:
         out = F.lit(0.0)
@@ -115,7 +132,7 @@ def confidence(confidences: Column, told: Column) -> Column:
     penalties = F.aggregate(told, F.lit(0.0), lambda a, i: a + penalty(i))
     gone = sum((_empty(c).cast("int") for c in ("montant_tva", "montant_ttc")), _empty("montant_ht").cast("int"))
     penalties = penalties + F.when(gone >= 2, F.lit(0.10)).otherwise(F.lit(0.0))
-    return F.when(F.size(scores) == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base - penalties)))
+    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), let(base, lambda b: F.when(b.isNotNull(), b - penalties)))), F.lit(0.0))
 
 
 def completeness_confidence(mismatch: Column) -> Column:
@@ -125,11 +142,14 @@ def completeness_confidence(mismatch: Column) -> Column:
     return F.when(mismatch | collision(), F.least(share, F.lit(0.5))).otherwise(share)
 
 
-def settle(fields: DataFrame) -> DataFrame:
+def capped(score: Column, mismatch: Column) -> Column:
+    """A confidence, 0.5 at most where the amounts don't add up or two of them are the same."""
+    return F.when(mismatch | collision(), F.least(score, F.lit(0.5))).otherwise(score)
+
+
+def settle(fields: DataFrame, *keep: str) -> DataFrame:
     """From fields (the eight, confidences): issues, reconciled amounts, computed_fields,
-    amount_mismatch, confidence (0.5 at most with a mismatch or collision)."""
+    amount_mismatch, confidence (0.5 at most with a mismatch or collision); and the columns to keep."""
     x = fields.withColumn("issues", issues()).withColumn("_r", reconciled(F.col("confidences")))
-    x = x.select("invoice_id", *lx.FIELDS[:4], *[F.col(f"_r.{c}").alias(c) for c in lx.AMOUNTS], "confidences", "issues", "_r.computed_fields", "_r.amount_mismatch")
-    sure = confidence(F.col("confidences"), F.col("issues"))
-    capped = F.when(F.col("amount_mismatch") | collision(), F.least(sure, F.lit(0.5))).otherwise(sure)
-    return x.withColumn("confidence", capped)
+    x = x.select("invoice_id", *lx.FIELDS[:4], *[F.col(f"_r.{c}").alias(c) for c in lx.AMOUNTS], "confidences", "issues", "_r.computed_fields", "_r.amount_mismatch", *keep)
+    return x.withColumn("confidence", capped(confidence(F.col("confidences"), F.col("issues")), F.col("amount_mismatch")))

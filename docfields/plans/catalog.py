@@ -96,8 +96,7 @@ def q_label_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(" UNION ALL ".join(f"SELECT invoice_id, pos, '{f}' AS field FROM {NORM_LINES} WHERE regexp_matches(norm, {_sql(lx.label_regex(f))})" for f in lx.FIELDS))
 def q_alias_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = F.array_compact(F.array(*[F.when(text.contains_label(F.col("norm"), f), F.lit(f)) for f in lx.FIELDS]))
-    return _norm_lines(spark, sf_dir).select("invoice_id", "pos", F.explode(hits).alias("field"))
+    return _norm_lines(spark, sf_dir).select("invoice_id", "pos", F.explode(text.label_fields(F.col("norm"))).alias("field"))
 
 
 @query(f"SELECT invoice_id, pos, regexp_matches(norm, {_sql(lx.relaxed_regex('numero_facture'))}) AS relaxed FROM {NORM_LINES}")
@@ -206,7 +205,7 @@ def q_cluster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT invoice_id, string_agg(t, chr(10) ORDER BY row_idx) AS raw_text FROM (SELECT invoice_id, row_idx, string_agg(trim(text), chr(9) ORDER BY col_idx) AS t FROM {_ROWS} GROUP BY 1, 2) GROUP BY 1"
 )
 def q_raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.raw_text(layout.visual_rows(synth.ocr_lines(spark, sf_dir)))
+    return layout.raw_text(layout.documents(synth.ocr_lines(spark, sf_dir)))
 
 
 @query(

@@ -89,7 +89,9 @@ def duck(sql: str) -> str:
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in DUCK}
+    """The tables; orders are dealt out anew, as a small file of them is one task, and each makes many lines."""
+    found = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in DUCK}
+    return found | {"orders": found["orders"].repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
