@@ -88,6 +88,14 @@ def field_accuracy(cells: DataFrame) -> DataFrame:
     return g.withColumn("field", F.coalesce("field", F.lit("overall")))
 
 
+def against_baseline(accuracy: DataFrame) -> DataFrame:
+    """Adds to field_accuracy: percent right (0 without any), percent before, the change, and UP, DOWN or SAME."""
+    before = F.element_at(F.create_map(*[F.lit(x) for f, v in BASELINE.items() for x in (f, v * 100)]), F.col("field"))
+    percent = F.coalesce(F.try_divide(F.col("correct") * 100.0, F.col("total")), F.lit(0.0))
+    x = accuracy.withColumn("percent", percent).withColumn("before", before).withColumn("change", F.col("percent") - F.col("before"))
+    return x.withColumn("status", F.when(F.col("change") > 0, "UP").when(F.col("change") < 0, "DOWN").otherwise("SAME"))
+
+
 def error_message(code: Column, body: Column) -> Column:
     """What a failed call means."""
     low = F.lower(body)

@@ -15,7 +15,7 @@ from docfields.plans import synth
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "q_reconcile"
+FLAGSHIP = "q_extract_fields"
 
 LINES, DOCS = synth.duck(synth.LINES), synth.duck(synth.DOCUMENTS)
 FIELDS = f"""SELECT invoice_id, k, number_text AS numero_facture, iso_date AS date, supplier_text AS fournisseur, client_text AS client,

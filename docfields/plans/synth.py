@@ -80,6 +80,63 @@ WHERE txt IS NOT NULL
 """
 )
 
+#: Invoices whose extraction is known: the key and the texts as printed. Layouts: 0 value beside its label, a little
+#: lower and less high; 1 in one line with it, absent where there is none; 2 below; 3 apart by more than
+#: five heights, amounts on a second page; 4 further apart. Only layout 1 leaves values out.
+INVOICES = (
+    """
+SELECT k, invoice_id, lay, lang, CASE k % 9 WHEN 0 THEN 'REF-2024-' || CAST(k AS STRING) ELSE number_text END AS number_text, date_text, iso_date, supplier_text,
+  'Maison ' || CAST(k % 89 AS STRING) AS client_text, ht, tva, taxe, ttc, ht_text,
+  CASE lang WHEN 0 THEN replace(CAST(tva AS STRING), '.', ',') || ' TND' WHEN 1 THEN '20% ' || CAST(tva AS STRING) ELSE CAST(tva AS STRING) || ' DT' END AS tva_text,
+  CAST(taxe AS STRING) AS taxe_text, CASE lang WHEN 0 THEN replace(CAST(ttc AS STRING), '.', ',') WHEN 1 THEN '$' || CAST(ttc AS STRING) ELSE CAST(ttc AS STRING) || ' TND' END AS ttc_text
+FROM (
+  SELECT k, invoice_id, lay, lang, number_text, date_text, iso_date, supplier_text, ht, ht_text,
+    CASE WHEN lay <> 1 THEN coalesce(tva, CAST(12.5 AS DECIMAL(18,3))) ELSE tva END AS tva, CASE WHEN lay <> 1 THEN coalesce(taxe, CAST(0.6 AS DECIMAL(18,3))) ELSE taxe END AS taxe,
+    CASE WHEN lay <> 1 THEN coalesce(ttc, ht + CAST(13.1 AS DECIMAL(18,3))) ELSE ttc END AS ttc
+  FROM ("""
+    + DOCUMENTS
+    + """) AS made) AS filled
+"""
+)
+
+#: Their recognised lines. An address stands below the amounts, near them in every sixth invoice.
+INVOICE_LINES = (
+    """
+SELECT invoice_id, n AS pos, txt AS text, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(x1 + 80 AS DOUBLE) AS x2, CAST(y1 + high AS DOUBLE) AS y2,
+  CASE WHEN n = 17 THEN CAST(0.2 AS DOUBLE) WHEN (k + n) % 23 = 0 THEN CAST(0.5 AS DOUBLE) WHEN n % 2 = 0 THEN CAST(0.95 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS confidence,
+  page_index, n AS line_index
+FROM (
+  SELECT k, invoice_id, n,
+    CASE WHEN n = 16 THEN '123 rue de Tunis, 1000, Tunis' WHEN n = 17 THEN 'tache'
+      WHEN n % 2 = 0 AND lay = 1 THEN label || ' : ' || val WHEN n % 2 = 0 THEN label WHEN lay = 1 THEN NULL ELSE val END AS txt,
+    CASE WHEN n >= 16 OR n % 2 = 0 THEN 10 WHEN lay = 2 THEN 10 WHEN lay = 3 THEN 167 WHEN lay = 4 THEN 250 ELSE 100 END AS x1,
+    CASE WHEN n >= 16 THEN CASE WHEN k % 6 = 0 THEN 420 ELSE 900 END
+      ELSE CASE WHEN lay = 3 AND n >= 8 THEN -180 ELSE 20 END + 50 * CAST(floor(n / 2) AS INT) + CASE WHEN n % 2 = 1 AND lay = 2 THEN 20 WHEN n % 2 = 1 AND lay = 0 THEN 3 ELSE 0 END END AS y1,
+    CASE WHEN n % 2 = 1 AND lay = 0 THEN 12 ELSE 15 END AS high, CASE WHEN lay = 3 AND n >= 8 THEN 1 ELSE 0 END AS page_index
+  FROM (
+    SELECT k, invoice_id, lay, n,
+      CASE CAST(floor(n / 2) AS INT)
+        WHEN 0 THEN CASE lang WHEN 0 THEN 'N° Facture' WHEN 1 THEN CASE lay WHEN 2 THEN 'Invoice Number' ELSE 'Order Number' END ELSE 'Numéro de facture' END
+        WHEN 1 THEN CASE lang WHEN 0 THEN 'Date' WHEN 1 THEN 'Invoice Date' ELSE 'Date de facturation' END
+        WHEN 2 THEN CASE lang WHEN 0 THEN 'Fournisseur' WHEN 1 THEN 'Supplier' ELSE 'Émetteur' END
+        WHEN 3 THEN CASE lang WHEN 0 THEN 'Client' WHEN 1 THEN 'Customer' ELSE 'Destinataire' END
+        WHEN 4 THEN CASE lang WHEN 0 THEN 'Total HT' WHEN 1 THEN 'Subtotal' ELSE 'Montant HT' END
+        WHEN 5 THEN CASE lang WHEN 0 THEN 'TVA' WHEN 1 THEN 'VAT' ELSE 'Montant TVA' END
+        WHEN 6 THEN CASE lang WHEN 0 THEN 'Timbre fiscal' WHEN 1 THEN 'Stamp duty' ELSE 'Taxe' END
+        WHEN 7 THEN CASE lang WHEN 0 THEN 'Total TTC' WHEN 1 THEN 'Grand total' ELSE 'Net à payer' END END AS label,
+      CASE CAST(floor(n / 2) AS INT) WHEN 0 THEN number_text WHEN 1 THEN date_text WHEN 2 THEN supplier_text WHEN 3 THEN client_text
+        WHEN 4 THEN ht_text WHEN 5 THEN tva_text WHEN 6 THEN taxe_text WHEN 7 THEN ttc_text END AS val
+    FROM ("""
+    + INVOICES
+    + """) AS docs
+    CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17)) AS numbers(n)
+  ) AS printed
+  WHERE n >= 16 OR val IS NOT NULL
+) AS placed
+WHERE txt IS NOT NULL
+"""
+)
+
 DUCK = {"orders": "orders", "customer": "customer"}
 
 
@@ -104,6 +161,16 @@ def flat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(LINES, **_tables(spark, sf_dir))
 
 
+def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts and values of the invoices whose extraction is known."""
+    return spark.sql(INVOICES, **_tables(spark, sf_dir))
+
+
+def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their lines, as operators take them."""
+    return boxed(spark.sql(INVOICE_LINES, **_tables(spark, sf_dir)))
+
+
 def boxed(lines: DataFrame) -> DataFrame:
     """Lines with their box as a struct, as operators take them."""
     box = g.box(*[F.col(c) for c in ("x1", "y1", "x2", "y2")])
