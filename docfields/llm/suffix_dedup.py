@@ -14,6 +14,11 @@ just its neighbour in the array.
 A gram that occurs very often is cut into blocks of occurrences. Each block is scanned by
 itself; its windows that aren't repeated within it, and one of each that is, are then
 matched between blocks by hash, a hash that a block has once or often counting once.
+
+Passages are found in the same pass: the anchor of a 400-byte window is that of every
+200-byte window around it, so the anchors of 200-byte windows include those of 400-byte ones.
+Runs of bytes covered by repeated 200-byte strings that hold over 50 words are passages; they
+are reported, not removed, as removal goes by 400 bytes.
 """
 
 from __future__ import annotations
@@ -33,7 +38,10 @@ from docfields.llm.common import materialize, pieces, total_bytes
 GRAM = 64
 BLOCK = 1024
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+SHORT = 200
+PASSAGE_WORDS = 50
+
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long"
 PARTS = "task int, chunk int, meta binary, data binary"
 FOUND = "chunk int, bucket int, spans binary, hashes binary"
 
@@ -69,26 +77,26 @@ def anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) ->
 class Chunk:
     """A chunk's texts in a fixed order; equal texts of it are scanned once."""
 
-    def __init__(self, table: pa.Table, width: int) -> None:
+    def __init__(self, table: pa.Table, short: int, width: int) -> None:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         self.ids = table.column("doc_id").to_pylist()
         self.texts = [(t or "").encode() for t in table.column("text").to_pylist()]
-        self.width = width
+        self.short, self.width = short, width
         copies: dict[bytes, list[int]] = {}
         for i, t in enumerate(self.texts):
-            if len(t) >= width:
+            if len(t) >= short:
                 copies.setdefault(t, []).append(i)
         self.firsts = [c[0] for c in copies.values()]
         self.copied = {i for c in copies.values() if len(c) > 1 for i in c}
 
     def runs(self) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]]:
-        """(bytes, anchors(), places in the chunk of the texts) of each slice."""
+        """(bytes, anchors() of short windows, places in the chunk of the texts) of each slice."""
         own = [self.texts[i] for i in self.firsts]
         for a, b in kernel.slices(own):
             data = np.frombuffer(b"\n".join([*own[a:b], b""]), np.uint8)
             lengths = np.array([len(t) for t in own[a:b]])
             begin = np.cumsum(lengths + 1) - lengths - 1
-            yield data, anchors(data, begin, begin + lengths, self.width), np.array(self.firsts[a:b])
+            yield data, anchors(data, begin, begin + lengths, self.short), np.array(self.firsts[a:b])
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """(sorted distinct 48-bit gram values, how often each is an anchor)."""
@@ -96,9 +104,9 @@ class Chunk:
         return np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _asker(n_buckets: int, width: int):
+def _asker(n_buckets: int, short: int, width: int):
     def ask(table: pa.Table) -> pa.Table:
-        values, counts = Chunk(table, width).grams()
+        values, counts = Chunk(table, short, width).grams()
         out = [(b, blobs.pack_sorted(q), blobs.pack(counts[at].astype(np.uint64))) for b, at, q in blobs.by_bucket(values, n_buckets)]
         number = table.column("chunk")[0].as_py()
         cols = ([number] * len(out), [r[0] for r in out], [r[1] for r in out], [r[2] for r in out])
@@ -117,13 +125,14 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table([table.column("chunk"), table.column("bucket"), pa.array(told, pa.binary())], names=["chunk", "bucket", "levels"])
 
 
-def _cutter(n_buckets: int, n_tasks: int, width: int):
-    """PARTS of a chunk: the bytes under all windows whose anchor's gram occurs elsewhere, by task.
-    meta has, of each, gram value, block + 1 if the gram is in blocks, place of the text in the
-    chunk, place of the first window in the text, bytes before the anchor, length."""
+def _cutter(n_buckets: int, n_tasks: int, short: int, width: int):
+    """PARTS of a chunk: the bytes under all windows, short and wide, whose anchor's gram occurs elsewhere, by
+    task. meta has, of each, gram value, block + 1 if the gram is in blocks, place of the text in the
+    chunk, place of the first byte in the text, bytes before the anchor, length; first byte of and
+    number of short windows, and the same of wide ones (none where they have other anchors)."""
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
-        number, chunk = table.column("chunk")[0].as_py(), Chunk(table, width)
+        number, chunk = table.column("chunk")[0].as_py(), Chunk(table, short, width)
         values, _ = chunk.grams()
         levels = np.zeros(len(values), np.uint8)
         told = dict(zip(answers.column("bucket").to_pylist(), answers.column("levels").to_pylist(), strict=True))
@@ -137,12 +146,21 @@ def _cutter(n_buckets: int, n_tasks: int, width: int):
             value, level, anchor, first, last, text = (x[some] for x in (value, level, anchor, first, last, text))
             lengths = np.array([len(chunk.texts[i]) for i in places])
             origin = np.cumsum(lengths + 1) - lengths - 1
+            n_short, n_wide, first_wide = last - first + 1, np.zeros(len(first), np.int64), first.copy()
+            _, wide_anchor, wide_first, wide_last, _ = anchors(data, origin, origin + lengths, width)
+            if len(wide_anchor) and len(anchor):  # both in ascending order, an anchor once each
+                at = np.minimum(np.searchsorted(wide_anchor, anchor), len(wide_anchor) - 1)
+                has = wide_anchor[at] == anchor
+                first_wide[has], n_wide[has] = wide_first[at][has], (wide_last - wide_first + 1)[at][has]
+            begin = np.minimum(first, first_wide)
+            end = np.maximum(last + short, np.where(n_wide > 0, first_wide + n_wide - 1 + width, 0))
             spread = kernel.mix(first.astype(np.uint64) * np.uint64(1_000_003) + places[text].astype(np.uint64) + np.uint64(number << 40))
             n_blocks = np.uint64(1) << np.maximum(level - int(np.log2(BLOCK)), 0).astype(np.uint64)
             block = np.where(n_blocks > 1, (spread % n_blocks).astype(np.int64) + 1, 0)
-            metas.append(np.stack([value.astype(np.int64), block, places[text], first - origin[text], anchor - first, last + width - first], axis=1))
+            place = begin - origin[text]
+            metas.append(np.stack([value.astype(np.int64), block, places[text], place, anchor - begin, end - begin, first - begin, n_short, first_wide - begin, n_wide], axis=1))
             raw = data.tobytes()
-            datas += [raw[a:b] for a, b in zip(first.tolist(), (last + width).tolist(), strict=True)]
+            datas += [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
         out = []
         if datas:
             meta = np.concatenate(metas)
@@ -190,7 +208,7 @@ def intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((first, r))
 
 
-def repeats(data: np.ndarray, group: np.ndarray, start: np.ndarray, before: np.ndarray, length: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def repeats(data: np.ndarray, group: np.ndarray, start: np.ndarray, before: np.ndarray, length: np.ndarray, width: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(occurrences, l of each, r) of each repeat group of anchored strings.
 
     String i is data[start[i] : start[i] + length[i]] with its anchor at before[i]; only
@@ -214,7 +232,7 @@ def repeats(data: np.ndarray, group: np.ndarray, start: np.ndarray, before: np.n
         l_two[beside] = shared[low[beside]]
         for i in np.flatnonzero(~beside):
             l_two[i] = shared[low[i] : high[i]].min()
-        for i in np.flatnonzero(l_two + r_two >= width):
+        for i in np.flatnonzero(l_two + r_two >= least):
             yield right[two[i] : two[i] + 2], np.array([l_two[i]] * 2), int(r_two[i])
     for b, e in zip(begins[sizes > 2], ends[sizes > 2], strict=True):
         for first, last, r in intervals(common[b:e].tolist()):
@@ -223,45 +241,57 @@ def repeats(data: np.ndarray, group: np.ndarray, start: np.ndarray, before: np.n
             agree = np.minimum.reduceat(shared[: ranks[-1]], ranks[:-1])
             # left extension: bytes that an occurrence shares with the one before or after it in left order
             best = np.maximum(np.concatenate([[-1], agree]), np.concatenate([agree, [-1]]))
-            some = best + r >= width
+            some = best + r >= least
             if some.any():
                 yield left[ranks[some]], best[some], r
 
 
-def _finder(n_hashes: int, width: int):
-    """FOUND of a task: spans (place, begin, end) by chunk; for grams in blocks, window hashes by bucket."""
+def _hot_windows(hot: np.ndarray, group: np.ndarray, start: np.ndarray, shift: np.ndarray, count: np.ndarray, prefix: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """(hash, owner, place in its string, whether its block has it once only) of the different windows of
+    `size` bytes in the strings named by hot: those that begin at shift, count of them."""
+    counts = count[hot]
+    owner = np.repeat(hot, counts)
+    at = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + shift[owner]
+    hashes = kernel.span_hash(prefix, start[owner] + at, start[owner] + at + size)
+    key = np.stack([group[owner].astype(np.uint64), hashes], axis=1)
+    order = np.lexsort((key[:, 1], key[:, 0]))
+    new = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]).any(axis=1)])) if len(order) else np.zeros(0, np.int64)
+    often = np.diff(np.concatenate([new, [len(order)]])) > 1
+    one = order[new]
+    return hashes[one], owner[one], at[one], ~often
+
+
+def _finder(n_hashes: int, short: int, width: int):
+    """FOUND of a task: spans (place, begin, end, whether width bytes or more) by chunk; for grams in blocks,
+    window hashes by bucket: (hash, chunk or -1 if the block has it often, place, begin, size)."""
 
     def find(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        metas = [np.frombuffer(unpack.decompress(m), np.int64).reshape(-1, 6) for m in table.column("meta").to_pylist()]
+        metas = [np.frombuffer(unpack.decompress(m), np.int64).reshape(-1, 10) for m in table.column("meta").to_pylist()]
         data = np.frombuffer(b"".join(unpack.decompress(d) for d in table.column("data").to_pylist()), np.uint8)
         chunk = np.repeat(np.array(table.column("chunk").to_pylist()), [len(m) for m in metas])
-        value, block, place, first, before, length = np.concatenate(metas).T
+        value, block, place, first, before, length, at_short, n_short, at_wide, n_wide = np.concatenate(metas).T
         start = np.cumsum(length) - length
         _, group = np.unique(np.stack([value, block], axis=1), axis=0, return_inverse=True)
+        group = group.reshape(-1)
         rows = []
-        for own, l, r in repeats(data, group.reshape(-1), start, before, length, width):
+        for own, l, r in repeats(data, group, start, before, length, width, short):
             at = first[own] + before[own]
-            rows.append(np.stack([chunk[own], place[own], at - l, at + r], axis=1))
-        spans = np.concatenate(rows) if rows else np.zeros((0, 4), np.int64)
+            rows.append(np.stack([chunk[own], place[own], at - l, at + r, l + r >= width], axis=1))
+        spans = np.concatenate(rows) if rows else np.zeros((0, 5), np.int64)
         spans = np.unique(spans, axis=0)
         out = [(int(c), None, zstandard.compress(np.ascontiguousarray(spans[spans[:, 0] == c, 1:]).tobytes()), None) for c in np.unique(spans[:, 0])]
         hot = np.flatnonzero(block > 0)
         if len(hot):
-            counts = (length - width + 1)[hot]
-            owner = np.repeat(hot, counts)
-            shift = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-            at = start[owner] + shift
-            hashes = kernel.span_hash(kernel.prefix_hash(data), at, at + width)
-            key = np.stack([group.reshape(-1)[owner].astype(np.uint64), hashes], axis=1)
-            order = np.lexsort((key[:, 1], key[:, 0]))
-            new = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]).any(axis=1)]))
-            often = np.diff(np.concatenate([new, [len(order)]])) > 1
-            one = order[new]
-            told = np.stack([hashes[one].astype(np.int64), np.where(often, -1, chunk[owner[one]]), place[owner[one]], (first[owner] + shift)[one]], axis=1)
-            bucket = (hashes[one] % np.uint64(n_hashes)).astype(np.int64)
+            prefix = kernel.prefix_hash(data)
+            told = []
+            for size, shift, count in ((short, at_short, n_short), (width, at_wide, n_wide)):
+                hashes, owner, at, once = _hot_windows(hot, group, start, shift, count, prefix, size)
+                told.append(np.stack([hashes.astype(np.int64), np.where(once, chunk[owner], -1), place[owner], first[owner] + at, np.full(len(at), size)], axis=1))
+            every = np.concatenate(told)
+            bucket = (every[:, 0].astype(np.uint64) % np.uint64(n_hashes)).astype(np.int64)
             for b in np.unique(bucket):
-                out.append((None, int(b), None, zstandard.compress(np.ascontiguousarray(told[bucket == b]).tobytes())))
+                out.append((None, int(b), None, zstandard.compress(np.ascontiguousarray(every[bucket == b]).tobytes())))
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["chunk", "bucket", "spans", "hashes"])
 
@@ -269,17 +299,17 @@ def _finder(n_hashes: int, width: int):
 
 
 def _matcher(width: int):
-    """Spans, by chunk, of windows whose hash more than one block has."""
+    """Spans, by chunk, of windows whose hash more than one block has (a hash tells its window's size too)."""
 
     def match(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        told = np.concatenate([np.frombuffer(unpack.decompress(h), np.int64).reshape(-1, 4) for h in table.column("hashes").to_pylist()])
+        told = np.concatenate([np.frombuffer(unpack.decompress(h), np.int64).reshape(-1, 5) for h in table.column("hashes").to_pylist()])
         _, inverse, counts = np.unique(told[:, 0], return_inverse=True, return_counts=True)
         told = told[(counts[inverse.reshape(-1)] > 1) & (told[:, 1] >= 0)]
         out = []
         for c in np.unique(told[:, 1]):
             own = told[told[:, 1] == c]
-            out.append((int(c), zstandard.compress(np.stack([own[:, 2], own[:, 3], own[:, 3] + width], axis=1).tobytes())))
+            out.append((int(c), zstandard.compress(np.stack([own[:, 2], own[:, 3], own[:, 3] + own[:, 4], own[:, 4] >= width], axis=1).tobytes())))
         return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["chunk", "spans"])
 
     return match
@@ -294,43 +324,61 @@ def covered(lengths: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.cumsum(depth) > 0, begin
 
 
-def _remover(width: int):
+def passage_bytes(text: bytes, repeated: np.ndarray, words: int = PASSAGE_WORDS) -> int:
+    """Bytes in runs of repeated ones that hold over `words` whole words."""
+    edges = np.flatnonzero(np.diff(repeated.astype(np.int8), prepend=0, append=0))
+    runs = [(a, b) for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True)]
+    total = 0
+    for a, b in runs:
+        whole = len(text[a:b].split())
+        whole -= a > 0 and not text[a - 1 : a].isspace() and not text[a : a + 1].isspace()
+        whole -= b < len(text) and not text[b - 1 : b].isspace() and not text[b : b + 1].isspace()
+        total += b - a if whole > words else 0
+    return total
+
+
+def _remover(short: int, width: int):
     def remove(table: pa.Table, found: pa.Table) -> pa.Table:
-        own, unpack = Chunk(table, width), zstandard.ZstdDecompressor()
-        spans = [np.frombuffer(unpack.decompress(s), np.int64).reshape(-1, 3) for s in found.column("spans").to_pylist()]
-        spans.append(np.array([(i, 0, len(own.texts[i])) for i in own.copied], np.int64).reshape(-1, 3))
-        gone, begin = covered(np.array([len(t) for t in own.texts], np.int64), np.concatenate(spans))
+        own, unpack = Chunk(table, short, width), zstandard.ZstdDecompressor()
+        spans = [np.frombuffer(unpack.decompress(s), np.int64).reshape(-1, 4) for s in found.column("spans").to_pylist()]
+        spans.append(np.array([(i, 0, len(own.texts[i]), len(own.texts[i]) >= width) for i in own.copied], np.int64).reshape(-1, 4))
+        every, lengths = np.concatenate(spans), np.array([len(t) for t in own.texts], np.int64)
+        gone, begin = covered(lengths, every[every[:, 3] > 0])
+        repeated, _ = covered(lengths, every)
         out = []
         for doc_id, text, at in zip(own.ids, own.texts, begin.tolist(), strict=True):
             mask = gone[at : at + len(text)]
             n = int(mask.sum())
             kept = np.frombuffer(text, np.uint8)[~mask].tobytes() if n else text
             n_spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()) if n else 0
-            out.append((doc_id, len(text), n, n_spans, hashlib.sha256(kept).hexdigest()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            again = repeated[at : at + len(text)]
+            out.append((doc_id, len(text), n, n_spans, hashlib.sha256(kept).hexdigest(), passage_bytes(text, again) if again.any() else 0))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
         return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in RESULT.split(", ")])
 
     return remove
 
 
-def remove_repeats(docs: DataFrame, *, width: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of every row.
+def remove_repeats(docs: DataFrame, *, width: int = 400, short: int = SHORT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and n_passage_bytes of every row.
 
     A byte goes if a string of width bytes that covers it starts anywhere else too, in the same
     text or another; all strings are those of the input. Null counts as an empty text; rows that
     repeat a doc_id, or have none, are texts of their own (so both of two equal rows go); texts
     shorter than width keep everything; an empty table gives an empty result; other columns
-    don't matter. width is at least 2 * GRAM.
+    don't matter. n_passage_bytes counts the bytes of passages: runs covered by strings of `short`
+    bytes that start anywhere else too, with over 50 whole words. short is at least 2 * GRAM,
+    width at least short.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = total_bytes(rows)
     n_buckets = pieces(size, blobs.BUCKET_BYTES)
     n_tasks = pieces(size, blobs.BUCKET_BYTES // 2, 12)
     dealt = blobs.with_chunk(rows, pieces(size, blobs.CHUNK_BYTES))
-    asked = dealt.groupBy("chunk").applyInArrow(_asker(n_buckets, width), "chunk int, bucket int, hashes binary, counts binary")
+    asked = dealt.groupBy("chunk").applyInArrow(_asker(n_buckets, short, width), "chunk int, bucket int, hashes binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(_answer, "chunk int, bucket int, levels binary")
-    parts = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cutter(n_buckets, n_tasks, width), PARTS)
-    found = materialize(parts.groupBy("task").applyInArrow(_finder(n_tasks, width), FOUND), "repeats")
+    parts = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_cutter(n_buckets, n_tasks, short, width), PARTS)
+    found = materialize(parts.groupBy("task").applyInArrow(_finder(n_tasks, short, width), FOUND), "repeats")
     between = found.where("hashes IS NOT NULL").select("bucket", "hashes").groupBy("bucket").applyInArrow(_matcher(width), "chunk int, spans binary")
     spans = found.where("spans IS NOT NULL").select("chunk", "spans").union(between)
-    return dealt.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(_remover(width), RESULT)
+    return dealt.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(_remover(short, width), RESULT)

@@ -69,16 +69,40 @@ def components(rows):
     return [(d, len(s), lowest.get(root(i))) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
 
 
-def repeats(rows, width=400):
-    """[(doc_id, text)] -> rows of op6."""
-    data = [(t or "").encode() for _, t in rows]
+def repeated(data, width):
+    """Of each text, which bytes a string of width bytes covers that starts anywhere else too."""
     seen = Counter(b[i : i + width] for b in data for i in range(len(b) - width + 1))
     out = []
-    for (doc_id, _), b in zip(rows, data, strict=True):
+    for b in data:
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - width + 1):
             if seen[b[i : i + width]] > 1:
                 gone[i : i + width] = True
+        out.append(gone)
+    return out
+
+
+def passages(rows, width=200, least=50):
+    """Bytes of each text in repeated runs of over `least` whole words, word by word."""
+    data = [(t or "").encode() for _, t in rows]
+    out = []
+    for b, gone in zip(data, repeated(data, width), strict=True):
+        spans, total, i = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)], 0, 0
+        while i < len(b):
+            j = i
+            while j < len(b) and gone[j]:
+                j += 1
+            total += j - i if sum(i <= s and e <= j for s, e in spans) > least else 0
+            i = j + 1
+        out.append(total)
+    return out
+
+
+def repeats(rows, width=400):
+    """[(doc_id, text)] -> rows of op6."""
+    data = [(t or "").encode() for _, t in rows]
+    out = []
+    for (doc_id, _), b, gone in zip(rows, data, repeated(data, width), strict=True):
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         out.append((doc_id, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
     return out

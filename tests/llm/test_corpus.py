@@ -155,7 +155,9 @@ def test_quality_rules(docs, empty):
 def test_suffix_dedup(docs, empty, monkeypatch, block):
     monkeypatch.setattr(suffix_dedup, "BLOCK", block)
     got = suffix_dedup.remove_repeats(docs).collect()
-    assert by(got) == by(brute.repeats([(r[0], r[1]) for r in ROWS]))
+    rows = [(r[0], r[1]) for r in ROWS]
+    assert by(got) == by((*r, n) for r, n in zip(brute.repeats(rows), brute.passages(rows), strict=True))
+    assert any(r.n_passage_bytes for r in got) and any(r.n_removed and not r.n_passage_bytes for r in got)
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
