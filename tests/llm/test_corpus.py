@@ -106,7 +106,7 @@ def test_language_model(docs, empty, limit):
         if not tokens[-1][1]:
             counts.update(own)
     n, v = sum(counts.values()), len(counts)
-    want = [(d, h, len(t), sum(counts[w] > 0 for w in t), n, round(sum(math.log10((counts[w] + 1) / ((n + 1) * (v + 1))) for w in t), 4)) for d, h, t in tokens]
+    want = [(d, h, len(t), sum(counts[w] > 0 for w in t), n, round(sum(math.log10((counts[w] + 1) / (n + 1 * (v + 1))) for w in t), 4)) for d, h, t in tokens]
     got = ngram_lm.score_texts(docs, broadcast_bytes=limit).collect()
     assert by((*r[:5], round(r.base_score, 4)) for r in got) == by(want)
     assert all(r.score <= 0 for r in got)
