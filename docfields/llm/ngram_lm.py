@@ -12,7 +12,7 @@ counted, and the answers go to the chunk. Both ways give the same scores.
 P(w | h) = a * min(c(h w), c(h)) / c(h) + (1 - a) * (c(w) + 1) / (N + V + 1), without the
 first part where c(h) is 0; 1 - a is the share of word pairs seen once in training, the
 Good-Turing estimate of the mass of pairs not seen. The start of a text is a context, its
-end a word. base_score is the sum of log10((c(w) + 1) / (N + 1 * (V + 1))) with exact counts.
+end a word. base_score is the sum of log10((c(w) + 1) / (N + V + 1)) with exact counts.
 """
 
 from __future__ import annotations
@@ -144,10 +144,10 @@ def _counter(n_buckets: int, send_segment: bool):
         chunks, kinds = table.column("chunk").to_pylist(), np.array(table.column("kind").to_pylist())
         asked = [blobs.unpack_sorted(b) * np.uint64(n_buckets) + np.uint64(bucket) for b in table.column("hashes").to_pylist()]
         counts = [blobs.unpack(b).astype(np.int64) for b in table.column("counts").to_pylist()]
-        found = {}
+        every, found = {}, {}
         for kind in (WORD_LEVELS, PAIR_LEVELS):
             some = np.flatnonzero(kinds == kind)
-            values, total = blobs.merged([asked[i] for i in some], [counts[i] for i in some])
+            values, total = every[kind] = blobs.merged([asked[i] for i in some], [counts[i] for i in some])
             found[kind] = values[total > 0], total[total > 0]
         grams = np.concatenate([gram(v, kind) for kind, (v, _) in found.items()])
         segment = Segment.build(grams, np.concatenate([level_of(c) for _, c in found.values()]))
@@ -158,14 +158,15 @@ def _counter(n_buckets: int, send_segment: bool):
         out.append((-2, bucket, TOTALS, None, int((once == 1).sum()), int(once.sum())))
         if send_segment:
             out.append((-1, bucket, SEGMENT, segment.bits.tobytes(), None, None))
+        # each n-gram that any chunk asks for is probed once; a chunk's answers are looked up
+        levels = {} if send_segment else {kind: segment.probe(gram(v, kind)) for kind, (v, _) in every.items()}
         for i, values in enumerate(asked):
+            own, total = every[kinds[i]]
+            at = np.searchsorted(own, values)
             if kinds[i] == WORD_LEVELS:
-                own, total = found[WORD_LEVELS]
-                at = np.minimum(np.searchsorted(own, values), max(len(own) - 1, 0))
-                exact = np.where(own[at] == values, total[at], 0) if len(own) else np.zeros(len(values), np.int64)
-                out.append((chunks[i], bucket, EXACT, blobs.pack(exact), None, None))
+                out.append((chunks[i], bucket, EXACT, blobs.pack(total[at]), None, None))
             if not send_segment:
-                out.append((chunks[i], bucket, int(kinds[i]), blobs.pack_small(segment.probe(gram(values, kinds[i]))), None, None))
+                out.append((chunks[i], bucket, int(kinds[i]), blobs.pack_small(levels[kinds[i]][at]), None, None))
         types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["chunk", "bucket", "kind", "data", "v", "n"])
 
