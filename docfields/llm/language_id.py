@@ -1,13 +1,13 @@
 """Language ID by bit-sliced Bloom filters of byte n-grams.
 
-Training counts every n-gram of letters per language (over all training texts, hashed
-into a fixed number of bins) and takes as a language's n-grams those that are frequent
-in it, relative to the language in which they are most frequent. All filters have
-the same size and hash functions and are stored bit-sliced: a row per position, a
-bit per language, so k rows and an AND return all languages that contain an n-gram.
-Per text and language the hits are counted and corrected by the filter's rate of false
-positives; the largest corrected share decides. The model's size is fixed by its
-parameters (rows x languages / 8 bytes), never by the input.
+Training counts every n-gram of letters per language over all training texts and takes as a
+language's n-grams those that are frequent in it, relative to the language in which they
+are most frequent. All filters have the same size and hash functions and are stored
+bit-sliced: a row per position, a bit per language. Each n-gram of a text is looked up in
+k rows; their AND has a bit for every language that contains it. Per text and language the
+bits are counted and corrected by the filter's rate of false positives; the largest
+corrected share decides. The model's size is fixed by its parameters (rows x languages / 8
+bytes), never by the input.
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docfields.llm import kernel
-from docfields.llm.common import in_fold
+from docfields.llm import blobs, kernel
+from docfields.llm.common import in_fold, materialize
 
 UNDETERMINED = "und"
 SIZES = (3, 4)
-BITS = 20
+MOST_LANGUAGES = 1024
+HELD_GRAMS = 1 << 21
+PIECE = 1 << 16  # bytes of a text looked up at a time
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_grams", T.LongType())])
 
 #: bytes of letters: a-z and all of multi-byte characters; everything else ends a word
@@ -38,8 +40,9 @@ _FOLD[128:] = np.arange(128, 256)
 _FOLD[0xC2] = 32  # lead byte of Latin-1 signs; letters of that block but three have 0xC3
 
 
-def gram_bins(text: bytes | np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Bin of every n-gram of a text: n bytes of a word with the blank before or after it, or with both."""
+def grams(text: bytes | np.ndarray) -> np.ndarray:
+    """Every n-gram of a text as a number, its length and bytes: n bytes of a word with the blank before or
+    after it, or with both."""
     data = _FOLD[np.frombuffer(text, np.uint8)] if isinstance(text, bytes) else text
     wide = data.astype(np.uint64)
     blank = data == 32
@@ -54,49 +57,64 @@ def gram_bins(text: bytes | np.ndarray, bits: int = BITS) -> np.ndarray:
             code = (code << np.uint64(8)) | wide[j : j + m]
             if 0 < j < n - 1:
                 inner |= blank[j : j + m]
-        code = code[~inner] * np.uint64(0x9E3779B97F4A7C15)
-        out.append((code >> np.uint64(64 - bits)).astype(np.int64))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+        out.append(code[~inner])
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def bins_of(text: bytes, bits: int = BITS) -> Iterator[np.ndarray]:
-    """gram_bins of a long text piece by piece, cut at blanks."""
+def grams_of(text: bytes, size: int = kernel.SLICE) -> Iterator[np.ndarray]:
+    """grams of a long text piece by piece, cut at blanks."""
     text, at = b" " + text + b" ", 0
     while at < len(text) - 1:
-        end = min(len(text), at + kernel.SLICE)
+        end = min(len(text), at + size)
         if end < len(text):
             cut = text.rfind(b" ", at + 1, end)
             end = cut + 1 if cut > at else end
-        yield gram_bins(text[at:end], bits)
+        yield grams(text[at:end])
         at = end - 1 if end < len(text) else end
 
 
-def _counter(bits: int, most: int = 32):
-    def told(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for lang, counts in held.items():
-            at = np.flatnonzero(counts)
-            for part in range(0, len(at), 1 << 16):
-                some = at[part : part + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], names=["lang", "bin", "n"])
+class Tally:
+    """Counts of the n-grams of one language, as sorted arrays that are merged when they get long."""
+
+    def __init__(self) -> None:
+        self.values, self.counts, self.more, self.held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+    def add(self, found: np.ndarray) -> None:
+        self.more.append(np.unique(found, return_counts=True))
+        self.held += len(self.more[-1][0])
+        if self.held > HELD_GRAMS:
+            self.merge()
+
+    def merge(self) -> None:
+        every = [(self.values, self.counts), *self.more]
+        self.values, self.counts = blobs.merged([v for v, _ in every], [c for _, c in every])
+        self.more, self.held = [], 0
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n) of a partition; what is held is handed on before it gets large."""
+    held: dict[str, Tally] = {}
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for lang, tally in held.items():
+            tally.merge()
+            for part in range(0, len(tally.values), 1 << 16):
+                some = slice(part, part + (1 << 16))
+                n = len(tally.values[some])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array(tally.values[some].astype(np.int64)), pa.array(tally.counts[some])], names=["lang", "gram", "n"])
         held.clear()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-        for batch in batches:
-            by: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(text.encode())
-            for lang, own in by.items():
-                if lang not in held:
-                    if len(held) >= most:
-                        yield from told(held)
-                    held[lang] = np.zeros(1 << bits, np.int64)
-                for a, b in kernel.slices(own):
-                    for bins in bins_of(b" ".join(own[a:b]), bits):
-                        held[lang] += np.bincount(bins, minlength=1 << bits)
-        yield from told(held)
-
-    return count
+    for batch in batches:
+        by: dict[str, list[bytes]] = {}
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            by.setdefault(lang, []).append(text.encode())
+        for lang, own in by.items():
+            for a, b in kernel.slices(own):
+                for found in grams_of(b" ".join(own[a:b])):
+                    held.setdefault(lang, Tally()).add(found)
+        if sum(len(t.values) + t.held for t in held.values()) > 4 * HELD_GRAMS:
+            yield from told()
+    yield from told()
 
 
 @dataclass
@@ -108,90 +126,73 @@ class Filters:
     log_rows: int
     hashes: int
     false_rate: np.ndarray
-    bits: int
 
     @classmethod
-    def build(cls, langs: list[str], has: np.ndarray, bits: int, log_rows: int, hashes: int) -> Filters:
-        """has: (languages, bins), whether the language's set has the n-grams of a bin."""
+    def build(cls, sets: dict[str, np.ndarray], log_rows: int, hashes: int) -> Filters:
+        """sets: the n-grams of each language."""
+        langs = sorted(sets)
         rows = np.zeros((1 << log_rows, max(1, -(-len(langs) // 64))), np.uint64)
-        out = cls(langs, rows, log_rows, hashes, np.zeros(len(langs)), bits)
-        for k, own in enumerate(has):
-            bins = np.flatnonzero(own)
+        out = cls(langs, rows, log_rows, hashes, np.zeros(len(langs)))
+        for k, lang in enumerate(langs):
             for h in range(hashes):
-                rows[out.places(bins, h), k // 64] |= np.uint64(1) << np.uint64(k % 64)
+                rows[out.places(sets[lang], h), k // 64] |= np.uint64(1) << np.uint64(k % 64)
             filled = ((rows[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean()
             out.false_rate[k] = filled**hashes
         return out
 
-    def places(self, bins: np.ndarray, h: int) -> np.ndarray:
-        return (kernel.mix(bins.astype(np.uint64) + np.uint64(0x51ED27 * (h + 1) << self.bits)) >> np.uint64(64 - self.log_rows)).astype(np.int64)
+    def places(self, found: np.ndarray, h: int) -> np.ndarray:
+        return (kernel.mix(found + np.uint64(0x51ED27 * (h + 1) << 40)) >> np.uint64(64 - self.log_rows)).astype(np.int64)
 
-    def masks(self, bins: np.ndarray) -> np.ndarray:
+    def masks(self, found: np.ndarray) -> np.ndarray:
         """Languages that contain each n-gram, as bits."""
-        found = self.rows[self.places(bins, 0)]
+        out = self.rows[self.places(found, 0)]
         for h in range(1, self.hashes):
-            found &= self.rows[self.places(bins, h)]
-        return found
-
-    def by_bin(self) -> np.ndarray:
-        """masks of all bins, worked out once in each worker."""
-        return self.masks(np.arange(1 << self.bits))
-
-
-_MASKS: dict[int, tuple[Filters, np.ndarray, np.ndarray, np.ndarray]] = {}
-
+            out &= self.rows[self.places(found, h)]
+        return out
 
-def _tables(filters: Filters) -> tuple[np.ndarray, np.ndarray]:
-    """(kind of each bin, mask bits of each kind): few masks differ, so texts are counted by kind."""
-    key = id(filters)
-    if key not in _MASKS:
-        _MASKS.clear()
-        kinds, kind = np.unique(filters.by_bin(), axis=0, return_inverse=True)
-        langs = np.arange(len(filters.langs))
-        bits = (kinds[:, langs // 64] >> (langs % 64).astype(np.uint64)) & np.uint64(1)
-        _MASKS[key] = (filters, kind.reshape(-1).astype(np.int32), bits.astype(np.int64), kinds)
-    return _MASKS[key][1], _MASKS[key][2]
+    def hits(self, found: np.ndarray) -> np.ndarray:
+        """Number of the n-grams that each language contains."""
+        masks = self.masks(found)
+        return np.array([np.count_nonzero(masks[:, k // 64] & (np.uint64(1) << np.uint64(k % 64))) for k in range(len(self.langs))], np.int64)
 
 
 def predict(filters: Filters, texts: Sequence[str | None]) -> list[tuple[str, float, int]]:
     """(language, score, n-grams) of each text; see language_of."""
-    kind, bits = _tables(filters)
     out = []
     for text in texts:
         if not text or not filters.langs or not any(map(str.isalpha, text)):
             out.append((UNDETERMINED, 0.0, 0))
             continue
-        hits, n = np.zeros(len(bits), np.int64), 0
-        for bins in bins_of(text.encode()):
-            n += len(bins)
-            hits += np.bincount(kind[bins], minlength=len(bits))
-        share = (hits @ bits / max(n, 1) - filters.false_rate) / np.maximum(1 - filters.false_rate, 1e-9)
+        hits, n = np.zeros(len(filters.langs), np.int64), 0
+        for found in grams_of(text.encode(), PIECE):
+            n += len(found)
+            hits += filters.hits(found)
+        share = (hits / max(n, 1) - filters.false_rate) / np.maximum(1 - filters.false_rate, 1e-9)
         best = int(np.argmax(share))
         out.append((filters.langs[best], float(min(1.0, max(0.0, share[best]))), n))
     return out
 
 
-def train(docs: DataFrame, *, bits: int = BITS, log_rows: int = 21, hashes: int = 3, share: float = 0.5, least: float = 2e-6) -> Filters:
+def train(docs: DataFrame, *, log_rows: int = 21, hashes: int = 3, share: float = 0.5, least: float = 2e-6, most_languages: int = MOST_LANGUAGES) -> Filters:
     """Filters from all rows of docs whose text and lang are there.
 
     A language has an n-gram if its rate there is at least `least` and at least `share`
-    of its highest rate in any language. What reaches the driver is one row per language
-    and bin that occurs: 2 ** bits x languages at most.
+    of its highest rate in any language. So the driver gets 1 / least n-grams of each language at
+    most; more languages than most_languages are an error, as that bounds the filters too.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = rows.mapInArrow(_counter(bits), "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    counts = materialize(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "gram-counts")
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rate = counts.join(F.broadcast(total), "lang").select("lang", "bin", (F.col("n") / F.col("total")).alias("rate"))
-    top = rate.groupBy("bin").agg(F.collect_list(F.struct("lang", "rate")).alias("all"), F.max("rate").alias("top"))
-    kept = top.select("bin", F.expr(f"transform(filter(all, x -> x.rate >= {share} * top AND x.rate >= {least}D), x -> x.lang)").alias("langs")).where("size(langs) > 0")
+    if total.count() > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    rate = counts.join(F.broadcast(total), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate"))
+    top = rate.groupBy("gram").agg(F.collect_list(F.struct("lang", "rate")).alias("all"), F.max("rate").alias("top"))
+    kept = top.select("gram", F.expr(f"transform(filter(all, x -> x.rate >= {share} * top AND x.rate >= {least}D), x -> x.lang)").alias("langs")).where("size(langs) > 0")
     table = kept.toArrow()
-    bins, langs = table["bin"].to_numpy(), table["langs"].combine_chunks()
-    flat, each = langs.flatten().to_pylist(), np.diff(langs.offsets.to_numpy())
-    names = sorted(set(flat))
-    has = np.zeros((len(names), 1 << bits), bool)
-    spot = {name: k for k, name in enumerate(names)}
-    has[[spot[x] for x in flat], np.repeat(bins, each)] = True
-    return Filters.build(names, has, bits, log_rows, hashes)
+    found, langs = table["gram"].to_numpy().astype(np.uint64), table["langs"].combine_chunks()
+    flat, each = np.array(langs.flatten().to_pylist(), object), np.diff(langs.offsets.to_numpy())
+    owner = np.repeat(found, each)
+    return Filters.build({lang: owner[flat == lang] for lang in set(flat.tolist())}, log_rows, hashes)
 
 
 def language_of(filters: Filters, text: Column) -> Column:

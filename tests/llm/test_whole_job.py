@@ -65,4 +65,4 @@ def test_language_of_single_letters(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     filters = language_id.train(docs.select("lang", "text"))
     assert [(p, n) for p, s, n in language_id.predict(filters, ["A.", "y, O!", "7 !"]) if s > 0.9 or not n] == [("en", 1), ("es", 2), ("und", 0)]
-    assert all(len(language_id.gram_bins(f" {c} ".encode())) for c in "azé")
+    assert all(len(language_id.grams(f" {c} ".encode())) for c in "azé")
