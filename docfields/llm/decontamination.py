@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docfields.llm.common import materialize
+
 RATE = 0.08
 LEAST_CHARS = 25
 BLOCK_CHARS = 8 << 20
@@ -82,33 +84,48 @@ class Matcher:
             self.automaton.make_automaton()
 
     def find(self, text: str) -> list[dict]:
-        """item_id and smallest distance of every item that occurs in a normalised text."""
+        """item_id and smallest distance of every item that occurs in a normalised text.
+
+        Hits of an item's pieces give windows in which it may lie; windows that overlap are one stretch, and
+        each stretch is measured once, however many pieces hit there."""
         if not self.items:
             return []
         found: dict[int, int] = {}
-        seen: dict[int, list[tuple[int, int]]] = {}
+        windows: dict[int, list[tuple[int, int]]] = {}
         for end, (length, where) in self.automaton.iter(text):
             for k, at in where:
                 if found.get(k) == 0:
                     continue
                 _, item, edits = self.items[k]
                 start = end + 1 - length - at
-                lo, hi = max(0, start - edits), min(len(text), start + len(item) + edits)
-                tried = seen.setdefault(k, [])
-                if any(a <= lo and hi <= b for a, b in tried[-4:]):
-                    continue
-                tried.append((lo, hi))
-                if text.startswith(item, max(start, 0)):
+                if start >= 0 and text.startswith(item, start):
                     found[k] = 0
-                    continue
-                if k not in self.verifiers:
-                    self.verifiers[k] = Myers(item)
+                elif edits:
+                    windows.setdefault(k, []).append((max(0, start - edits), min(len(text), start + len(item) + edits)))
+        for k, own in windows.items():
+            if found.get(k) == 0:
+                continue
+            _, item, edits = self.items[k]
+            if k not in self.verifiers:
+                self.verifiers[k] = Myers(item)
+            for lo, hi in merged(own):
                 distance = self.verifiers[k].best(text[lo:hi])
                 if distance <= edits:
                     found[k] = min(found.get(k, distance), distance)
         return [{"item_id": self.items[k][0], "distance": d} for k, d in sorted(found.items())]
 
 
+def merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Windows as stretches that don't overlap."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(windows):
+        if out and lo < out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 _MATCHERS: dict[int, Matcher] = {}
 
 
@@ -116,8 +133,7 @@ def _matcher(block: Broadcast, rate: float, least_chars: int) -> Matcher:
     """The worker's automaton for a block; built once in each worker."""
     key = hash((rate, least_chars, *block.value))
     if key not in _MATCHERS:
-        if len(_MATCHERS) >= 4:
-            _MATCHERS.clear()
+        _MATCHERS.clear()  # an automaton is as large as a block allows; a task needs one
         _MATCHERS[key] = Matcher(block.value, rate, least_chars)
     return _MATCHERS[key]
 
@@ -150,25 +166,34 @@ def item_blocks(benchmark: DataFrame, block_chars: int, nameless: bool) -> Itera
         yield block
 
 
-def matches_of(spark: SparkSession, benchmark: DataFrame, text: Column, *, rate: float = RATE, least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS, nameless: bool = False) -> Column:
-    """array<struct<item_id, distance>> of the items that occur in a text; empty if none does.
+def matches_of(spark: SparkSession, benchmark: DataFrame, text: Column, *, rate: float = RATE, least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS, nameless: bool = False) -> Iterator[Column]:
+    """For each block of items: array<struct<item_id, distance>> of those that occur in a text; empty if none does.
 
     Null and empty texts match nothing. Items of fewer than least_chars normalised characters
     match without edits only; items with a null id are looked for only if nameless, those
     without a letter or digit never; items with the same text are all
     reported, rows with the same item_id once each. An empty benchmark matches nothing. Rows
-    don't affect each other, so repeats, null doc_ids and other columns need no care.
+    don't affect each other, so repeats, null doc_ids and other columns need no care. The driver
+    holds one block at a time.
     """
-    columns = [_scan(spark.sparkContext.broadcast(block), rate, least_chars)(normalised(text)) for block in item_blocks(benchmark, block_chars, nameless)]
-    return F.concat(*columns) if columns else F.array().cast(MATCHES)
+    for block in item_blocks(benchmark, block_chars, nameless):
+        yield _scan(spark.sparkContext.broadcast(block), rate, least_chars)(normalised(text))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """doc_id, item_id, distance: a row for each row of docs and item that occurs in it."""
-    found = docs.select("doc_id", F.explode(matches_of(docs.sparkSession, benchmark, F.col("text"), **options)).alias("m"))
-    return found.select("doc_id", "m.item_id", "m.distance")
+    """doc_id, item_id, distance: a row for each row of docs and item that occurs in it. Blocks of
+    items are scanned for one after the other."""
+    own, out = docs.select("doc_id", "text"), None
+    for matches in matches_of(docs.sparkSession, benchmark, F.col("text"), **options):
+        found = own.select("doc_id", F.explode(matches).alias("m")).select("doc_id", "m.item_id", "m.distance")
+        out = found if out is None else out.union(found)
+    return out if out is not None else own.where("false").select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("distance"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs in which no item occurs, with an id or without, with their columns."""
-    return docs.where(F.size(matches_of(docs.sparkSession, benchmark, F.col("text"), nameless=True, **options)) == 0)
+    """The rows of docs in which no item occurs, with an id or without, with their columns. After each
+    block of items but the last, the rows left are a written table."""
+    left = None
+    for matches in matches_of(docs.sparkSession, benchmark, F.col("text"), nameless=True, **options):
+        left = (docs if left is None else materialize(left, "decontaminated")).where(F.size(matches) == 0)
+    return docs if left is None else left
