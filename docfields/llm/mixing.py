@@ -75,7 +75,6 @@ def mix_sources(
     max_repeats: int = 3,
     block_words: int = 16,
     shard_words: int = 1 << 20,
-    max_shards: int = 4096,
     seed: int = 17,
     carry: bool = False,
 ) -> DataFrame:
@@ -93,18 +92,19 @@ def mix_sources(
         F.col("doc_id"),
         F.col("source"),
         word_count(F.col("text")).alias("size"),
+        F.xxhash64("text").alias("_h"),
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []),
     )
     thin = materialize(base.drop("row"), "mix-sizes")
     sources = thin.groupBy("source").agg(F.sum("size").alias("source_size"))
-    shards_of = F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("int")
+    shards_of = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("int")
     sources = materialize(water_fill(sources, weights, max_repeats).withColumn("n_shards", shards_of), "mix-sources")
 
     def keyed(rows: DataFrame) -> DataFrame:
         """Adds the source's figures and the row's shard; the key stands for a null source too."""
         named = sources.select(F.struct("source").alias("_source"), "rank", "source_size", "target", "n_shards")
         out = rows.join(named, F.struct("source") == F.col("_source"), "inner").drop("_source")
-        spot = F.xxhash64(F.lit(seed), "doc_id", "size")
+        spot = F.xxhash64(F.lit(seed), "doc_id", "_h")
         return out.withColumn("shard", F.pmod(spot, F.col("n_shards").cast("long")))
 
     shards = keyed(thin).groupBy("rank", "shard").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
@@ -123,7 +123,7 @@ def mix_sources(
 
     out = keyed(base if carry else thin)
     out = out.join(quotas, (F.col("rank") == F.col("_rank")) & (F.col("shard") == F.col("_shard")), "inner")
-    line = Window.partitionBy("rank", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("rank", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "_h"), "doc_id", "_h").rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("_end", F.sum("size").over(line)).withColumn("_at", F.col("_end") - F.col("size"))
     full = F.expr("CASE WHEN blocks > 0 THEN seats DIV blocks ELSE 0 END")
     more = F.expr("CASE WHEN blocks > 0 THEN seats % blocks ELSE 0 END")
