@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 
 from docfields.llm import blobs, kernel
 from docfields.llm.common import materialize, pieces, total_bytes
-from docfields.llm.components import components
+from docfields.llm.components import components, hub_join
 
 WORDS = 5
 PERCENT = 75
 SUB_BLOCK = 1500
+PROBES = 8  # long lists probed at a time
 
 #: h: hash of the text as it is
 SETS = "doc_id long, h long, n long, d1 long, d2 long, shared binary, prefix int"
@@ -171,7 +172,8 @@ class InvertedLists:
         self.owner = self.keys % self.n
 
     def _merged(self, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """How many of the lists each place is in, by one pass over all of them."""
+        """How many of the lists each place is in: the sorted lists are merged at once, counted by place,
+        where a heap would give the same places one by one."""
         spots = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
         return np.bincount(self.owner[spots], minlength=self.n)
 
@@ -179,7 +181,7 @@ class InvertedLists:
         """(places, number of the query's lists each is in) of the sets before limit that are in
         `least` lists or more (T-occurrence, DivideSkip). Short lists are merged; a set in too few of
         them can't reach `least` with all long ones; for the others the long lists are probed by
-        binary search, or merged where that is less work."""
+        binary search, longest last, and a set is given up once the lists left can't bring it there."""
         none = np.zeros(0, np.int64)
         rank = np.searchsorted(self.values, query)
         rank = np.sort(rank[(rank < len(self.values)) & (self.values[np.minimum(rank, len(self.values) - 1)] == query)])
@@ -196,12 +198,15 @@ class InvertedLists:
         places = np.flatnonzero(counts >= max(1, least - n_long))
         if not len(places):
             return none, none
-        if len(places) * n_long * 16 < int(length[long].sum()):
-            probes = rank[long][:, None] * self.n + places[None, :]
+        total, open_ = counts[places], np.arange(len(places))
+        for at in range(0, n_long, PROBES):
+            lists = rank[long[at : at + PROBES]]
+            probes = lists[:, None] * self.n + places[open_][None, :]
             spots = np.minimum(np.searchsorted(self.keys, probes), len(self.keys) - 1)
-            total = counts[places] + (self.keys[spots] == probes).sum(axis=0)
-        else:
-            total = (counts + self._merged(begin[long], length[long]))[places]
+            total[open_] += (self.keys[spots] == probes).sum(axis=0)
+            open_ = open_[total[open_] + n_long - at - len(lists) >= least]
+            if not len(open_):
+                break
         enough = total >= least
         return places[enough], total[enough]
 
@@ -254,15 +259,16 @@ def set_links(sets: DataFrame, classes: DataFrame) -> DataFrame:
     some = sets.where("shared IS NOT NULL").dropDuplicates(["d1", "d2", "n"])
     some = some.join(classes, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("m")))
     some = materialize(some.select(F.col("d1").alias("k"), "n", "shared", "prefix", "copies"), "candidates")
+    n_sets, n_postings = some.agg(F.count(F.lit(1)), F.coalesce(F.sum("prefix"), F.lit(0))).first()
     postings = some.select("k", "shared", "prefix").mapInArrow(_postings, "h long, k long")
-    lists = postings.groupBy("h").agg(F.min("k").alias("m"), F.max("k").alias("x")).where("m != x").select(F.col("h").alias("g"), "m")
-    edges = postings.join(lists, F.col("h") == F.col("g")).select(F.col("k").alias("a"), F.col("m").alias("b"))
+    lists = postings.groupBy("h").agg(F.min("k").alias("m"), F.max("k").alias("x"), F.count(F.lit(1)).alias("held")).where("m != x").select(F.col("h").alias("g"), "m", "held")
+    edges = hub_join(postings, ["h"], lists, ["g"], "held", n_postings).select(F.col("k").alias("a"), F.col("m").alias("b"))
     roots = components(edges)
     tops = roots.select(F.col("root").alias("a"), "root").distinct()
     roots = materialize(roots.union(tops), "blocks")
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    sizes = sizes.select(F.col("root").alias("block"), F.ceil(F.col("size") / SUB_BLOCK).cast("int").alias("n_sub"))
-    rows = some.join(roots, F.col("k") == F.col("a")).join(sizes, F.col("root") == F.col("block"))
+    sizes = sizes.select(F.col("root").alias("block"), "size", F.ceil(F.col("size") / SUB_BLOCK).cast("int").alias("n_sub"))
+    rows = hub_join(some.join(roots, F.col("k") == F.col("a")), ["root"], sizes, ["block"], "size", n_sets)
     rows = rows.select("block", "k", "n", "shared", "copies", "n_sub", F.pmod(F.xxhash64("k"), F.col("n_sub").cast("long")).cast("int").alias("sub"))
     rows = materialize(rows, "block-rows")
     n_tasks = pieces(rows.count(), SUB_BLOCK, 12)
@@ -286,10 +292,11 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     linked = found.where("b IS NULL").groupBy(F.col("a").alias("l")).agg(F.sum("n").alias("linked"))
     placed = classes.join(roots, F.col("e1") == F.col("a"), "left").withColumn("root", F.coalesce("root", "e1"))
-    named = placed.groupBy("root").agg(F.min("low").alias("component"), F.sum("copies").alias("members")).where("members > 1")
-    named = placed.join(named.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).join(linked, F.col("e1") == F.col("l"), "left")
-    named = named.select("e1", "e2", "m", "root", "component", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
-    out = sets.join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("m")), "left")
+    named = placed.groupBy("root").agg(F.min("low").alias("component"), F.sum("copies").alias("members"), F.count(F.lit(1)).alias("n_classes")).where("members > 1")
+    n_classes, n_rows = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    named = hub_join(placed, ["root"], named.withColumnRenamed("root", "r"), ["r"], "n_classes", n_classes).join(linked, F.col("e1") == F.col("l"), "left")
+    named = materialize(named.select("e1", "e2", "m", "root", "component", "copies", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links")), "named-classes")
+    out = hub_join(sets, ["d1", "d2", "n"], named, ["e1", "e2", "m"], "copies", n_rows, "left")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         "h", "root",
