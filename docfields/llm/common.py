@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +20,13 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests, local mode) a temporary folder is
-    made and set as the checkpoint folder.
+    Only where the session names none, in local mode as in tests, a temporary folder is
+    made and set as the checkpoint folder; on a cluster that is an error, as executors don't see it.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docfields-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,7 +34,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder; each call names another one."""
-    return f"{shared_dir(spark)}/docfields/{kind}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/docfields/{kind}-{uuid.uuid4().hex}"
+    for held in _HELD:
+        held.append(path)
+    return path
+
+
+_HELD: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def dropping(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, the tables and files that shared_path named in between. For callers that
+    have written what they read from them: a DataFrame that still reads one can't run afterwards."""
+    paths: list[str] = []
+    _HELD.append(paths)
+    try:
+        yield
+    finally:
+        _HELD.remove(paths)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def materialize(df: DataFrame, kind: str) -> DataFrame:
