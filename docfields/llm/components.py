@@ -1,4 +1,4 @@
-"""Connected components of a graph given by edges, by alternating stars; joins whose hot keys are broadcast."""
+"""Connected components of a graph given by edges, by alternating stars."""
 
 from __future__ import annotations
 
@@ -7,24 +7,23 @@ from pyspark.sql import functions as F
 
 from docfields.llm.common import materialize
 
-#: A key is hot if it has more than this share of all rows; so there are at most 1 / HOT_SHARE hot keys.
-HOT_SHARE = 1 / 2000
+#: A node is a hub if it has more than this share of all rows; so there are at most 1 / HUB_SHARE hubs.
+HUB_SHARE = 1 / 200
 
 
-def hub_join(rows: DataFrame, row_key: list[str], named: DataFrame, named_key: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
-    """rows join named (one row a key; weight: about how many rows have the key; total: of all).
+def with_least(rows: DataFrame) -> DataFrame:
+    """rows (a, b) with m, the smallest of a and all its b.
 
-    Keys with over HOT_SHARE of the total, of which there can't be more than 1 / HOT_SHARE, are broadcast
-    with what is named of them; the others are shuffled, where none of them is large. how: inner or
-    left. Columns are those of both sides."""
-    on = lambda: [F.col(a) == F.col(b) for a, b in zip(row_key, named_key, strict=True)]
-    limit = total * HOT_SHARE
-    hot = named.where(F.col(weight) > limit)
-    keys = F.broadcast(hot.select(*[F.col(b).alias(f"_hub{i}") for i, b in enumerate(named_key)]))
-    is_hot = [F.col(a) == F.col(f"_hub{i}") for i, a in enumerate(row_key)]
-    own = rows.join(F.broadcast(hot), on(), "inner")
-    rest = rows.join(keys, is_hot, "left_anti").join(named.where(F.col(weight) <= limit), on(), how)
-    return own.unionByName(rest)
+    Nodes with over HUB_SHARE of all rows, of which there can't be more than 1 / HUB_SHARE, come to
+    the driver with their m and are broadcast; only the others are shuffled to be joined."""
+    n_rows = rows.count()
+    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"), "n")
+    hubs = [(r["u"], r["m"]) for r in least.where(F.col("n") > n_rows * HUB_SHARE).collect()]
+    plain = lambda some: some.join(least.select("u", "m"), F.col("a") == F.col("u")).select("a", "b", "m")
+    if not hubs:
+        return plain(rows)
+    told = rows.join(F.broadcast(rows.sparkSession.createDataFrame(hubs, "h long, low long")), F.col("a") == F.col("h"), "left")
+    return told.where("h IS NOT NULL").select("a", "b", F.col("low").alias("m")).union(plain(told.where("h IS NULL").select("a", "b")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,19 +31,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nodes that are the smallest of their component, or that have no edge but to themselves,
     have no row. Large-star and small-star rounds alternate until nothing changes, a few
-    rounds even for long chains; every round is a written table, so that lineage stays short.
-    Nodes with very many edges don't land in one task, as their joins are hub joins.
+    rounds even for long chains; what each star makes is a written table, so that plans and
+    lineage stay short. Nodes with very many edges don't land in one task (see with_least).
     """
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    state, n_edges = None, e.count()
+    state = None
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"), "n")
-        large = hub_join(both, ["a"], least, ["u"], "n", 2 * n_edges).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = hub_join(large, ["a"], low.withColumnRenamed("a", "u"), ["u"], "n", 2 * n_edges).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialize(small.union(low.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "edges")
+        large = materialize(with_least(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "edges")
+        # here m is smaller than a, as every b is
+        small = with_least(large).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        e = materialize(small.distinct(), "edges")
         now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.count_distinct("a")).first())
         if now == state:
             return e.select("a", F.col("b").alias("root"))
-        state, n_edges = now, now[0]
+        state = now

@@ -28,7 +28,7 @@ from docfields.llm.common import in_fold, materialize
 UNDETERMINED = "und"
 SIZES = (3, 4)
 MOST_LANGUAGES = 1024
-HELD_GRAMS = 1 << 21
+HELD_GRAMS = 1 << 19
 PIECE = 1 << 16  # bytes of a text looked up at a time
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_grams", T.LongType())])
 
