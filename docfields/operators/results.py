@@ -96,6 +96,83 @@ def against_baseline(accuracy: DataFrame) -> DataFrame:
     return x.withColumn("status", F.when(F.col("change") > 0, "UP").when(F.col("change") < 0, "DOWN").otherwise("SAME"))
 
 
+def banner(counts: DataFrame) -> DataFrame:
+    """Adds severity to summary(): error, warning (incomplete rows) or success."""
+    return counts.withColumn("severity", F.when(F.col("errors") > 0, "error").when(F.col("incomplete") > 0, "warning").otherwise("success"))
+
+
+def from_success(rows: DataFrame) -> DataFrame:
+    """Result rows of documents that were read (path, the fields, confidence, engine_used)."""
+    return _row(rows, F.col("confidence"), F.col("engine_used"), None)
+
+
+def from_error(rows: DataFrame) -> DataFrame:
+    """Result rows of documents that failed (path, message): no fields, confidence 0, engine "ocr"."""
+    none = rows.select("path", "message", *[F.lit(None).cast("string").alias(f) for f in lx.FIELDS])
+    return _row(none, F.lit(0.0), F.lit("ocr"), F.col("message"))
+
+
+def _row(rows: DataFrame, confidence: Column, engine: Column, message: Column | None) -> DataFrame:
+    name = F.element_at(F.split("path", "/"), -1)
+    failed = F.lit(message is not None)
+    x = rows.select(
+        "path", name.alias("file_name"), *lx.FIELDS, confidence.alias("confidence"), engine.alias("engine_used"), failed.alias("has_error"),
+        (F.lit(None).cast("string") if message is None else message).alias("error_message"),
+    )
+    return x.withColumn("is_incomplete", is_incomplete(F.col("has_error")))
+
+
+def edited(rows: DataFrame, edits: DataFrame, key: str) -> DataFrame:
+    """Rows with edits (key, field, value) in place of what was found, the last one given (seq) counting; the
+    placeholder stands for null, and what follows from the fields is worked out again."""
+    last = edits.groupBy(key, "field").agg(F.max_by(F.nullif(F.trim("value"), F.lit(PLACEHOLDER)), "seq").alias("v"))
+    told = last.groupBy(F.col(key).alias("_key")).agg(F.map_from_entries(F.collect_list(F.struct("field", F.coalesce("v", F.lit("")).alias("v")))).alias("_edits"))
+    j = rows.join(told, F.col(key) == F.col("_key"), "left")
+    new = lambda f: F.when(F.map_contains_key("_edits", F.lit(f)), F.nullif(F.try_element_at("_edits", F.lit(f)), F.lit(""))).otherwise(F.col(f))
+    j = j.withColumns({f: new(f) for f in lx.FIELDS}).drop("_key", "_edits")
+    return j.withColumn("is_incomplete", is_incomplete(F.col("has_error")))
+
+
+def membership(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """What a rerun does to the list of incomplete rows: key and change: added, removed, updated or none."""
+    a = after.select(F.col(key).alias("_key"), F.col("is_incomplete").alias("_now"))
+    j = before.join(a, F.col(key) == F.col("_key"))
+    was, now = F.col("is_incomplete"), F.col("_now")
+    return j.select(key, F.when(was & now, "updated").when(was, "removed").when(now, "added").otherwise("none").alias("change"))
+
+
+def placeholder(value: Column) -> Column:
+    return F.when(is_blank(value), F.lit(PLACEHOLDER)).otherwise(value)
+
+
+def size_text(n_bytes: Column) -> Column:
+    """Bytes as people read them: B, or KB and MB to one decimal, halves up."""
+    tenths = lambda unit: F.floor((n_bytes * 10 + unit / 2) / unit).cast("long")
+    told = lambda t, name: F.concat((F.floor(t / 10)).cast("string"), F.lit("."), (t % 10).cast("string"), F.lit(f" {name}"))
+    return F.when(n_bytes < 1 << 10, F.concat(n_bytes.cast("string"), F.lit(" B"))).when(n_bytes < 1 << 20, told(tenths(float(1 << 10)), "KB")).otherwise(told(tenths(float(1 << 20)), "MB"))
+
+
+def progress(done: Column, total: Column) -> Column:
+    """Percent done; 0 of nothing."""
+    return F.coalesce(F.try_divide(done * 100.0, total), F.lit(0.0))
+
+
+def message(templates: dict[str, str], key: Column, *values: Column) -> Column:
+    """The template of a key with {0}, {1}, ... filled in; {_key_} where there is none."""
+    table = F.create_map(*[F.lit(x) for pair in templates.items() for x in pair])
+    out = F.coalesce(F.try_element_at(table, key), F.concat(F.lit("{_"), key, F.lit("_}")))
+    for i, v in enumerate(values):
+        out = F.replace(out, F.lit(f"{{{i}}}"), F.coalesce(v.cast("string"), F.lit("")))
+    return out
+
+
+def compare_versions(a: Column, b: Column) -> Column:
+    """1, 0 or -1 by the numbers between points; missing ones and words count as 0, a leading v not at all."""
+    parts = lambda v: F.transform(F.split(F.regexp_replace(v, "^v+", ""), r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
+    pairs = F.zip_with(parts(a), parts(b), lambda x, y: F.signum(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0))).cast("int"))
+    return F.coalesce(F.get(F.filter(pairs, lambda s: s != 0), F.lit(0)), F.lit(0))
+
+
 def error_message(code: Column, body: Column) -> Column:
     """What a failed call means."""
     low = F.lower(body)

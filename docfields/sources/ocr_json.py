@@ -15,7 +15,12 @@ LINE = "array<struct<text:string,box:struct<x1:double,y1:double,x2:double,y2:dou
 def read_ocr_json(spark: SparkSession, path: str) -> DataFrame:
     """One JSON array of lines per file: lines with pos, their place in the array; line_index 0 where
     absent; invoice_id is the file's name without its ending. A file is one row, as its order counts."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.from_json("value", LINE).alias("lines"))
+    return lines_of(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), "value"))
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """Lines of files given by name and value (their text)."""
+    files = files.select("name", F.from_json("value", LINE).alias("lines"))
     flat = files.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("invoice_id"), F.posexplode("lines").alias("pos", "l"))
     return flat.select("invoice_id", "pos", "l.text", "l.box", "l.confidence", F.coalesce("l.page_index", F.lit(0)).alias("page_index"), F.coalesce("l.line_index", F.lit(0)).alias("line_index"))
 

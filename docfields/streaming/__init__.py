@@ -1 +1 @@
-"""docfields.streaming."""
+"""Extraction of documents as they arrive."""
