@@ -72,9 +72,9 @@ def q_collapse_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text.collapse_text(F.col("text"))).alias("digest"))
 
 
-@query(r"SELECT doc_id, length(regexp_replace(text, '[^\x00-\x7F\p{L}]', '', 'g')) / nullif(length(text), 0) >= 0.5 AS latin FROM documents WHERE text <> ''")
+@query(r"SELECT doc_id, coalesce(length(regexp_replace(text, '[^\x00-\x7F\p{L}]', '', 'g')) / nullif(length(text), 0) >= 0.5, false) AS latin FROM documents")
 def q_latin_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").where("text != ''").select("doc_id", text.looks_like_latin_text(F.col("text")).alias("latin"))
+    return _table(spark, sf_dir, "documents").select("doc_id", text.looks_like_latin_text(F.col("text")).alias("latin"))
 
 
 @query(f"SELECT doc_id, md5(trim({_collapse('text')}, ' :-' || chr(9) || chr(10) || chr(13))) AS digest FROM documents")
@@ -158,9 +158,9 @@ def q_extract_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("invoice_id", parse.extract_date(F.col("date_text"), text.normalize_text(F.col("date_text"))).alias("iso"))
 
 
-@query(f"SELECT invoice_id, CAST(ht AS VARCHAR) AS value FROM ({DOCS}) WHERE lang = 0")
+@query(f"SELECT invoice_id, CASE WHEN lang = 0 THEN CAST(ht AS VARCHAR) END AS value FROM ({DOCS})")
 def q_parse_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = synth.documents(spark, sf_dir).where("lang = 0")
+    d = synth.documents(spark, sf_dir)
     return d.select("invoice_id", parse.format_amount(parse.parse_decimal(F.regexp_replace("ht_text", " TND", ""))).alias("value"))
 
 
