@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfields.llm.common import WORD, materialize, shared_path
+from docfields.llm.common import WORD, dropping, materialize, shared_path
 from docfields.llm.decontamination import decontaminated
 from docfields.llm.jaccard_join import jaccard_rows
 from docfields.llm.language_id import UNDETERMINED, language_of, train
@@ -54,17 +54,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a benchmark item occurs."""
+    """Drops documents in which a benchmark item occurs. Null and empty texts hold none and stay, rows that repeat
+    are judged alike, an empty benchmark drops nothing; other columns don't matter."""
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources to target weights: each document as often as the mix takes it."""
+    """Sources to target weights: each document as often as the mix takes it. Null and empty texts are never
+    taken; a null source is one of its own, a null doc_id an ordinary one; rows equal in id and text are documents of their own."""
     return mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the ids of all documents and reads, per document, its place, length and checksum."""
+    """Writes the ids of all documents and reads, per document, its place, length and checksum, in ascending
+    doc_id, nulls first. Null and empty texts are an end alone; rows that repeat an id each have their place."""
     return read_tokens(write_tokens(docs, tokenizer_path()))
 
 
@@ -81,10 +84,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; the last stage's rows, read from its table."""
+    """Applies STAGES to documents; the last stage's rows, read from its table. What a stage wrote on its way is
+    deleted once its own table is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with dropping(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
