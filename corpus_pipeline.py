@@ -30,9 +30,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter (null and empty texts too) or in none of the languages
     learned from all rows that name one; rows don't affect each other otherwise."""
     filters = train(docs.select("lang", "text"))
-    told = docs.withColumn("__language", language_of(filters, F.col("text")))
-    sure = (F.col("__language.lang_pred") != UNDETERMINED) & (F.col("__language.score") >= LEAST_SCORE)
-    return told.where(sure).drop("__language")
+    told = docs.select(F.struct("*").alias("row"), language_of(filters, F.col("text")).alias("told"))
+    sure = (F.col("told.lang_pred") != UNDETERMINED) & (F.col("told.score") >= LEAST_SCORE)
+    return told.where(sure).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
