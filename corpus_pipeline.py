@@ -42,15 +42,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are told apart by doc_id and text; those that repeat both are one document, except that
     texts without a word link to nothing, so all of them that have no doc_id stay."""
-    rows = materialize(jaccard_rows(docs).where("root IS NOT NULL").select("root", F.col("doc_id").alias("d"), "h").distinct(), "linked-rows")
-    least = rows.groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("x"), "d", "h")).alias("least"))
-    lost = rows.join(least.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).where("NOT (d <=> least.d AND h = least.h)").select("d", "h").distinct()
-    key = lambda d, h: [F.coalesce(d, F.lit(0)).alias("__d"), d.isNull().alias("__x"), h.alias("__h")]
+    key = lambda d, h: [F.coalesce(d, F.lit(0)).alias("d"), d.isNull().alias("x"), h.alias("h")]
+    rows = materialize(jaccard_rows(docs).where("root IS NOT NULL").select("root", *key(F.col("doc_id"), F.col("h"))).distinct(), "linked-rows")
+    least = rows.groupBy("root").agg(F.min(F.struct("x", "d", "h")).alias("least")).select("least.*")
+    # a row's id and text decide its component, so rows meet the least ones by these, never by a root that may hold a third of them
+    lost = rows.join(least, ["d", "x", "h"], "left_anti").select("d", "x", "h")
     bare = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    told = docs.where(~bare).select("*", *key(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+    others = [c for c in docs.columns if c != "text"]
+    told = docs.where(~bare).select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col("text").alias("t"), *key(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
     # the join's keys are among those of dropDuplicates, so documents are shuffled once
-    kept = told.join(lost.select(*key(F.col("d"), F.col("h"))), ["__d", "__x", "__h"], "left_anti").dropDuplicates(["__d", "__x", "__h", "text"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where(bare))
+    kept = told.join(lost, ["d", "x", "h"], "left_anti").dropDuplicates(["d", "x", "h", "t"])
+    return kept.select(*[F.col("t").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]).union(docs.where(bare))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
