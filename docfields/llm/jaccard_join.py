@@ -292,6 +292,8 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     linked = found.where("b IS NULL").groupBy(F.col("a").alias("l")).agg(F.sum("n").alias("linked"))
     placed = classes.join(roots, F.col("e1") == F.col("a"), "left").withColumn("root", F.coalesce("root", "e1"))
     named = placed.groupBy("root").agg(F.min("low").alias("component"), F.sum("copies").alias("members")).where("members > 1")
+    # written, so that the join's sides are plain exchanges, of which Spark splits those with a hot root
+    named = materialize(named, "named")
     named = placed.join(named.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).join(linked, F.col("e1") == F.col("l"), "left")
     named = named.select("e1", "e2", "m", "root", "component", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
     out = sets.join(named, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") == F.col("m")), "left")
