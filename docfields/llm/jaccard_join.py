@@ -7,7 +7,7 @@
 3. Of the rest, partners share one of their n - T + 1 rarest shingles. Components of that
    relation are blocks: no link crosses two of them.
 4. In a block, each set searches the inverted lists for sets that occur in T of its lists:
-   short lists are merged, long ones probed for the candidates by binary search. Every link
+   short lists are merged by a heap, long ones probed for the candidates by binary search. Every link
    counts for both its sets, as often as the other has rows; a forest of links is kept for the
    components. A block of many sets is cut into sub-blocks: each is searched in itself, and
    each two of them one against the other, so that every pair of sets is met once.
@@ -15,7 +15,10 @@
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -171,15 +174,45 @@ class InvertedLists:
         self.begin = np.searchsorted(self.keys, np.arange(len(self.values) + 1) * self.n)
         self.owner = self.keys % self.n
 
-    def _merged(self, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """How many of the lists each place is in: the sorted lists are merged at once, counted by place,
-        where a heap would give the same places one by one."""
-        spots = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-        return np.bincount(self.owner[spots], minlength=self.n)
+    def _merged(self, begin: np.ndarray, length: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, number of lists) of the places in `least` or more of the lists, by a heap of the lists' heads.
+
+        Where too few lists have the smallest head, the least - 1 smallest heads are popped: only their lists hold
+        a place before the head that is left, so they skip to it by binary search."""
+        k, end = len(length), np.cumsum(length)
+        at, end = (end - length).tolist(), end.tolist()
+        spots = np.repeat(begin - np.array(at, np.int64), length) + np.arange(end[-1])
+        # place * k + list, so that a head names its list; eight bytes each
+        heads = array("q", (self.owner[spots] * k + np.repeat(np.arange(k), length)).tobytes())
+        heap = [heads[i] for i in at]
+        heapify(heap)
+        found, counts = [], []
+        while len(heap) >= least:
+            place, n = heap[0] // k, 0
+            stop = (place + 1) * k
+            while heap and heap[0] < stop:
+                i = heap[0] % k
+                at[i] += 1
+                if at[i] < end[i]:
+                    heapreplace(heap, heads[at[i]])
+                else:
+                    heappop(heap)
+                n += 1
+            if n >= least:
+                found.append(place)
+                counts.append(n)
+            elif len(heap) >= least:
+                out = [heappop(heap) % k for _ in range(least - 1)]
+                goal = heap[0] - heap[0] % k
+                for i in out:
+                    at[i] = bisect_left(heads, goal, at[i], end[i])
+                    if at[i] < end[i]:
+                        heappush(heap, heads[at[i]])
+        return np.array(found, np.int64), np.array(counts, np.int64)
 
     def occurring(self, query: np.ndarray, least: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, number of the query's lists each is in) of the sets before limit that are in
-        `least` lists or more (T-occurrence, DivideSkip). Short lists are merged; a set in too few of
+        `least` lists or more (T-occurrence, DivideSkip). Short lists are merged by a heap; a set in too few of
         them can't reach `least` with all long ones; for the others the long lists are probed by
         binary search, longest last, and a set is given up once the lists left can't bring it there."""
         none = np.zeros(0, np.int64)
@@ -194,11 +227,10 @@ class InvertedLists:
         order = np.argsort(length, kind="stable")
         n_long = min(least - 1, int(least / (0.01 * np.log2(max(2, int(length.max()))) + 1)))
         short, long = order[: len(order) - n_long], order[len(order) - n_long :]
-        counts = self._merged(begin[short], length[short])
-        places = np.flatnonzero(counts >= max(1, least - n_long))
+        places, total = self._merged(begin[short], length[short], least - n_long)
         if not len(places):
             return none, none
-        total, open_ = counts[places], np.arange(len(places))
+        open_ = np.arange(len(places))
         for at in range(0, n_long, PROBES):
             lists = rank[long[at : at + PROBES]]
             probes = lists[:, None] * self.n + places[open_][None, :]

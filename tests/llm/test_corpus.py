@@ -245,3 +245,14 @@ def test_jaccard_join(docs, empty, monkeypatch, sub_block):
         want.append((d, n, c if c is not None else d))
     assert by(got) == by(want)
     assert jaccard_join.jaccard_components(empty).count() == 0
+
+
+def test_heap_merge():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        sets = [np.unique(rng.integers(0, 12, rng.integers(1, 9))).astype(np.uint64) for _ in range(int(rng.integers(1, 15)))]
+        index = jaccard_join.InvertedLists(sets)
+        length = np.diff(index.begin)
+        for least in (1, 2, 3, 6):
+            places, counts = index._merged(index.begin[:-1], length, least)
+            assert list(zip(places.tolist(), counts.tolist(), strict=True)) == [(i, len(s)) for i, s in enumerate(sets) if len(s) >= least]
