@@ -40,8 +40,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     of those that share it the one with the smallest hash of its text; one without a doc_id only
     where none has any.
 
-    Rows are told apart by doc_id and text; those that repeat both are one document, except that
-    texts without a word link to nothing, so all of them that have no doc_id stay."""
+    Rows are told apart by doc_id and text; those that repeat both are one document, of which the row
+    whose other columns come first as JSON stays, except that texts without a word link to nothing, so
+    all of them that have no doc_id stay."""
     key = lambda d, h: [F.coalesce(d, F.lit(0)).alias("d"), d.isNull().alias("x"), h.alias("h")]
     rows = materialize(jaccard_rows(docs).where("root IS NOT NULL").select("root", *key(F.col("doc_id"), F.col("h"))).distinct(), "linked-rows")
     least = rows.groupBy("root").agg(F.min(F.struct("x", "d", "h")).alias("least")).select("least.*")
@@ -50,8 +51,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     bare = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     others = [c for c in docs.columns if c != "text"]
     told = docs.where(~bare).select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.col("text").alias("t"), *key(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
-    # the join's keys are among those of dropDuplicates, so documents are shuffled once
-    kept = told.join(lost, ["d", "x", "h"], "left_anti").dropDuplicates(["d", "x", "h", "t"])
+    # the join's keys are among those of the grouping, so documents are shuffled once
+    kept = told.join(lost, ["d", "x", "h"], "left_anti").groupBy("d", "x", "h", "t").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return kept.select(*[F.col("t").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]).union(docs.where(bare))
 
 
