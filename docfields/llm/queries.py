@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docfields.llm import decontamination, importance, jaccard_join, language_id, mixing, ngram_lm, quality_rules, suffix_dedup, token_planes, warc
+from docfields.llm import bpe, decontamination, importance, jaccard_join, language_id, leaderboard, mixing, ngram_lm, quality_rules, suffix_dedup, target_resampling, token_planes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_links(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of the text decoded from them; see bpe.round_trip."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op12_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of each nation's ten best items by day of arrival; see leaderboard.changes."""
+    return leaderboard.changes(table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "vendors"), table(spark, sf_dir, "items"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of each document in a draw towards the benchmark; see target_resampling.resample."""
+    drawn = target_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
@@ -84,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_planes": op9_token_planes,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_bpe": op11_bpe,
+    "op12_leaderboard": op12_leaderboard,
+    "op13_resampling": op13_resampling,
 }
 
 _WARC_SQL = """
