@@ -163,10 +163,10 @@ def q_engine_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"SELECT invoice_id, form, CASE WHEN form <> 'text' THEN number_text END AS numero_facture, CASE WHEN form <> 'text' THEN CAST(ht AS VARCHAR) END AS montant_ht, CASE WHEN form = 'whole' THEN CAST(k AS VARCHAR) END AS montant_ttc, form = 'whole' AS strict_ok FROM ({DOCS}), (VALUES ('whole'), ('part'), ('text')) AS f(form)"
+    f"SELECT invoice_id, form, CASE WHEN form = 'part' THEN number_text END AS numero_facture, CASE WHEN form = 'part' THEN CAST(ht AS VARCHAR) END AS montant_ht, CAST(NULL AS VARCHAR) AS montant_ttc, CASE WHEN form = 'whole' THEN CAST(k AS VARCHAR) END AS strict_ttc, form = 'whole' AS strict_ok FROM ({DOCS}), (VALUES ('whole'), ('part'), ('text')) AS f(form)"
 )
 def q_cloud_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields of providers' replies: fenced, with numbers as values; with fields missing; not JSON."""
+    """Fields of providers' replies: fenced, with a number as value, which is an error where texts are asked for; with fields missing; not JSON."""
     d = synth.documents(spark, sf_dir).select("invoice_id", "number_text", F.col("ht").cast("string").alias("h"), F.col("k").cast("string").alias("k"))
     pair = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
@@ -175,7 +175,7 @@ def q_cloud_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = {"whole": F.concat(F.lit("```json\n{"), some, F.lit(","), rest, F.lit("}\n```")), "part": F.concat(F.lit("{"), some, F.lit("}")), "text": F.lit("no fields here")}
     x = d.withColumn("r", F.explode(F.array(*[F.struct(F.lit(n).alias("form"), v.alias("reply")) for n, v in forms.items()]))).select("invoice_id", "r.*")
     x = x.withColumn("loose", providers.reply_fields(F.col("reply"), strict=False)).withColumn("strict", providers.reply_fields(F.col("reply"), strict=True))
-    return x.select("invoice_id", "form", "loose.numero_facture", "loose.montant_ht", "loose.montant_ttc", F.col("strict").isNotNull().alias("strict_ok"))
+    return x.select("invoice_id", "form", "loose.numero_facture", "loose.montant_ht", "loose.montant_ttc", F.col("strict.montant_ttc").alias("strict_ttc"), F.col("strict").isNotNull().alias("strict_ok"))
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS path, CASE WHEN p_partkey % 10 = 0 THEN 0 WHEN p_partkey % 3 = 0 THEN 429 ELSE 200 END AS code, CASE WHEN p_partkey % 10 = 0 THEN 'TimeoutError' ELSE p_name END AS reply FROM part")

@@ -56,8 +56,3 @@ def payload_lines(payload):
     zipped = F.arrays_zip(reply["rec_texts"], reply["rec_scores"], reply["rec_polys"])
     return F.transform(zipped, lambda z: F.struct(z["rec_texts"].alias("text"), F.coalesce(z["rec_scores"], F.lit(0.0)).alias("confidence"), envelope(z["rec_polys"]).alias("box")))
 
-
-def cloud_fields(reply):
-    """Fields of a cloud reply: JSON object of strings, fenced or not; null if it isn't one."""
-    bare = F.regexp_replace(F.trim(reply), r"^```(?:json)?\s*|\s*```$", "")
-    return F.from_json(bare, "map<string,string>")

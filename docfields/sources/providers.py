@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docfields.functions import lexicon as lx
-from docfields.sources.ocr_json import cloud_fields
+from docfields.functions.parse import let
+from docfields.sources.replies import client_fields, server_fields
 
 #: Replies that mean that a provider won't answer later either; confidence of a cloud row.
 PERMANENT = (401, 403, 404, 410, 429, 503)
@@ -43,12 +44,10 @@ def called(files: DataFrame, provider: Provider) -> DataFrame:
 
 
 def reply_fields(reply: Column, *, strict: bool) -> Column:
-    """The eight fields of a reply as a struct, values as text; null if it isn't a JSON object. strict: all
-    eight must be there (as a server asks); otherwise those that aren't are null (as a client takes it)."""
-    told = cloud_fields(reply)
-    row = F.struct(*[F.try_element_at(told, F.lit(f)).alias(f) for f in lx.FIELDS])
-    whole = F.size(F.array_intersect(F.map_keys(told), F.array(*[F.lit(f) for f in lx.FIELDS]))) == len(lx.FIELDS)
-    return F.when(whole if strict else told.isNotNull(), row)
+    """The eight fields of a reply as a struct, null where the reply is an error: as a server takes it (strict: all eight
+    must be there, values as text) or as a client does (fields that aren't there are null, values that aren't text an error)."""
+    told = server_fields(reply) if strict else client_fields(reply)
+    return let(told, lambda t: F.when(t["problem"].isNull(), F.struct(*[t[f].alias(f) for f in lx.FIELDS])))
 
 
 def body_summary(body: Column) -> Column:
