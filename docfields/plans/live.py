@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfields.functions import lexicon as lx
+from docfields.functions import text
+from docfields.operators import bands, layout
 from docfields.plans import fixtures, synth
-from docfields.plans.catalog import _RESULTS, DOCS, _results, _table, query
+from docfields.plans.catalog import _RESULTS, _ROWS, DOCS, LINES, NORM_LINES, _results, _sql, _table, query
 from docfields.plans.desk import _ASKED, _GONE
 from docfields.sinks.kept import KeptTable
 from docfields.sources import breaker
@@ -101,3 +103,25 @@ def q_typed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         "invoice_id", "r.form", F.col("c.numero_facture").alias("client_number"), F.col("c.montant_ttc").alias("client_ttc"), F.col("c.problem").alias("client_problem"),
         F.col("s.montant_ttc").alias("server_ttc"), F.col("s.numero_facture").alias("server_number"), F.col("s.problem").alias("server_problem"),
     )
+
+
+# -- candidates of labels in documents of any length
+
+_FLAGGED = f"""SELECT l.invoice_id, l.pos, r.row_idx, x1, y1, x2, y2, confidence, regexp_matches(norm, {_sql(lx.any_label_regex())}) AS is_anchor, length(norm) >= 2 AND NOT regexp_matches(norm, {_sql(lx.any_label_regex())}) AS fits
+  FROM ({LINES}) l JOIN {_ROWS} r ON l.invoice_id = r.invoice_id AND l.pos = r.pos JOIN {NORM_LINES} n ON l.invoice_id = n.invoice_id AND l.pos = n.pos"""
+
+
+@query(
+    f"""WITH f AS ({_FLAGGED}), p AS (SELECT a.invoice_id, a.pos AS anchor, c.pos, c.row_idx - a.row_idx AS d, greatest(0, greatest(a.y1, c.y1) - least(a.y2, c.y2)) AS v, greatest(0, greatest(a.x1, c.x1) - least(a.x2, c.x2)) AS h,
+    c.x1 - a.x2 AS gap, abs((a.y1 + a.y2) / 2 - (c.y1 + c.y2) / 2) AS dy, c.confidence FROM f a JOIN f c ON a.invoice_id = c.invoice_id AND c.row_idx BETWEEN a.row_idx - {lx.LOOKAHEAD_ROWS} AND a.row_idx + {lx.LOOKAHEAD_ROWS} WHERE a.is_anchor AND c.fits),
+  q AS (SELECT *, CASE WHEN d = 0 AND anchor <> pos AND gap BETWEEN 0 AND {lx.LARGEST_HORIZONTAL_GAP} THEN 1 WHEN d > 0 AND v <= {lx.LARGEST_VERTICAL_GAP} THEN 2 WHEN d < 0 AND v <= {lx.LARGEST_VERTICAL_GAP} THEN 3 END AS phase FROM p)
+SELECT invoice_id, anchor, pos, phase, CAST(round(CASE phase WHEN 1 THEN 1000 - gap * 5 - dy * 5 ELSE 800 - v * 8 - h * 3 END + confidence * 100, 6) AS DOUBLE) AS score
+FROM (SELECT *, min(phase) OVER (PARTITION BY invoice_id, anchor) AS best FROM q WHERE phase IS NOT NULL) WHERE phase < 3 OR best = 3"""
+)
+def q_band_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines near each label; documents of over 16 lines by buckets, as long ones would be."""
+    norm = text.normalize_text(F.col("text"))
+    rows = layout.visual_rows(synth.ocr_lines(spark, sf_dir)).withColumn("_n", norm).withColumn("is_anchor", text.looks_like_label(F.col("_n"))).withColumn("fits", text.is_plausible(F.col("_n")))
+    at = f"{fixtures.folder(spark, 'flagged')}/lines"  # written once, as both kinds of documents and each phase read it
+    rows.select("invoice_id", "pos", "row_idx", "box", "confidence", "is_anchor", "fits").write.parquet(at)
+    return bands.candidates(spark.read.parquet(at), long_lines=16).withColumn("score", F.round("score", 6))
