@@ -65,3 +65,11 @@ def score_right(anchor: Column, value: Column, confidence: Column) -> Column:
 
 def score_below(anchor: Column, value: Column, confidence: Column) -> Column:
     return F.lit(800.0) - vertical_gap(anchor, value) * 8.0 - horizontal_gap(anchor, value) * 3.0 + confidence * 100.0
+
+
+def score_general(anchor: Column, value: Column, confidence: Column, same_line: bool) -> Column:
+    """The general score of a value for a label: in one line by gap and height, else by gap and distance of centres."""
+    if same_line:
+        gap = F.greatest(F.lit(0.0), value["x1"] - anchor["x2"])
+        return F.lit(1000.0) - gap * 10.0 - F.abs(center_y(value) - center_y(anchor)) * 5.0 + confidence * 100.0
+    return F.lit(800.0) - vertical_gap(anchor, value) * 10.0 - F.abs(center_x(value) - center_x(anchor)) * 2.0 + confidence * 100.0

@@ -152,6 +152,20 @@ def size_text(n_bytes: Column) -> Column:
     return F.when(n_bytes < 1 << 10, F.concat(n_bytes.cast("string"), F.lit(" B"))).when(n_bytes < 1 << 20, told(tenths(float(1 << 10)), "KB")).otherwise(told(tenths(float(1 << 20)), "MB"))
 
 
+#: Signs of a file's kind.
+SIGNS = {"pdf": "📋", "jpg": "🖼", "jpeg": "🖼", "png": "🖼", "bmp": "🖼", "tif": "🖼", "tiff": "🖼"}
+OTHER_SIGN = "📄"
+
+
+def file_item(path: Column, n_bytes: Column) -> Column:
+    """A file as a list of files shows it: name (what follows the last slash or backslash), size_text ("?" where the size isn't known)
+    and sign, by the ending in any letter case."""
+    name = F.regexp_extract(path, r"([^/\\\\]*)$", 1)
+    ending = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
+    table = F.create_map(*[F.lit(x) for pair in SIGNS.items() for x in pair])
+    return F.struct(name.alias("name"), F.coalesce(size_text(n_bytes), F.lit("?")).alias("size_text"), F.coalesce(F.try_element_at(table, ending), F.lit(OTHER_SIGN)).alias("sign"))
+
+
 def progress(done: Column, total: Column) -> Column:
     """Percent done; 0 of nothing."""
     return F.coalesce(F.try_divide(done * 100.0, total), F.lit(0.0))

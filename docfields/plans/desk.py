@@ -322,7 +322,7 @@ def q_clean_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT invoice_id, pos, {_norm('text')} AS norm FROM ({LINES})")
 def q_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The normal form of lines by the session's SQL function, vectorised over batches."""
+    """The normal form of lines by the session's SQL function."""
     register(spark)
     synth.flat_lines(spark, sf_dir).createOrReplaceTempView("docfields_lines")
     return spark.sql("SELECT invoice_id, pos, normalize_text(text) AS norm FROM docfields_lines")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docfields.functions import lexicon as lx
-from docfields.functions import text
-from docfields.operators import bands, layout
+from docfields.functions import collation, text
+from docfields.functions import geometry as g
+from docfields.functions.register import register
+from docfields.operators import bands, layout, results
 from docfields.plans import fixtures, synth
-from docfields.plans.catalog import _RESULTS, _ROWS, DOCS, LINES, NORM_LINES, _results, _sql, _table, query
+from docfields.plans.catalog import _CELLS, _PLAIN, _RESULTS, _ROWS, DOCS, LINES, NORM_LINES, _amount_sql, _reconciled, _results, _sql, _table, fields, query
 from docfields.plans.desk import _ASKED, _GONE
+from docfields.sinks import ordered
 from docfields.sinks.kept import KeptTable
-from docfields.sources import breaker
+from docfields.sources import breaker, pages
 from docfields.sources.replies import client_fields, server_fields
 from docfields.streaming import standing
 
@@ -125,3 +128,114 @@ def q_band_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{fixtures.folder(spark, 'flagged')}/lines"  # written once, as both kinds of documents and each phase read it
     rows.select("invoice_id", "pos", "row_idx", "box", "confidence", "is_anchor", "fits").write.parquet(at)
     return bands.candidates(spark.read.parquet(at), long_lines=16).withColumn("score", F.round("score", 6))
+
+
+# -- functions of the session
+
+
+@query(
+    f"""SELECT n.invoice_id, n.pos, norm, CAST(try_cast({_PLAIN} AS DECIMAL(28,3)) AS VARCHAR) AS amount, regexp_matches(norm, {_sql(lx.any_label_regex())}) AS is_label
+FROM {NORM_LINES} n JOIN (SELECT invoice_id, pos, nullif({_amount_sql('text')}, '') AS a FROM ({LINES})) m ON n.invoice_id = m.invoice_id AND n.pos = m.pos"""
+)
+def q_sql_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal form, amount and label of lines by the session's SQL functions."""
+    register(spark)
+    return spark.sql("SELECT invoice_id, pos, normalize_text(text) AS norm, extract_amount(text) AS amount, looks_like_label(text) AS is_label FROM {lines}", lines=synth.flat_lines(spark, sf_dir))
+
+
+@query("SELECT event_id, n AS pos, CASE n WHEN 0 THEN event_type ELSE 'b' END AS text, CASE n WHEN 0 THEN 0.9 ELSE 0.0 END::DOUBLE AS confidence, CASE n WHEN 0 THEN CAST(event_id % 50 + 10 AS DOUBLE) END AS x2 FROM events, (VALUES (0), (1)) AS v(n)")
+def q_sql_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of recognisers' replies by the session's table function."""
+    register(spark)
+    reply = """'{"rec_texts":["' || event_type || '","b"],"rec_scores":[0.9],"rec_polys":[[[0,0],[' || (event_id % 50 + 10) || ',0],[1,9]]]}'"""
+    replies = _table(spark, sf_dir, "events").select("event_id", F.expr(reply).alias("reply"))
+    return spark.sql("SELECT event_id, l.pos, l.text, l.confidence, l.x2 FROM {replies}, LATERAL document_lines(reply) AS l", replies=replies)
+
+
+# -- order
+
+
+_SPELLED = "SELECT p_partkey, p_brand, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, 'e', 'é') ELSE p_name END AS name FROM {part}"
+_READ = "lower(strip_accents(name))"
+
+
+@query(f"SELECT p_partkey, name, rank() OVER (PARTITION BY p_brand ORDER BY {_READ}) AS as_read, rank() OVER (PARTITION BY p_brand ORDER BY encode(name)) AS by_letter, count(*) OVER (PARTITION BY p_brand, {_READ}) AS alike FROM ({_SPELLED.format(part='part')})")
+def q_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each part's name in its brand, without case and accents and letter by letter, and how many read like it."""
+    x = spark.sql(_SPELLED.replace("{part}", "{p}"), p=_table(spark, sf_dir, "part")).withColumn("_read", collation.read(F.col("name")))
+    place = lambda c: F.rank().over(Window.partitionBy("p_brand").orderBy(c)).cast("long")
+    alike = F.count(F.lit(1)).over(Window.partitionBy("p_brand", "_read"))
+    return x.select("p_partkey", "name", place("_read").alias("as_read"), place("name").alias("by_letter"), alike.alias("alike"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 3 THEN NULL ELSE c_nationkey END AS nation, CASE c_custkey % 4 WHEN 3 THEN NULL ELSE n_regionkey END AS region FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def q_reading_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of customers by names that are spelled in several ways, or not at all like a nation's."""
+    nation = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
+    turn = F.col("c_custkey") % 4
+    spelled = F.when(turn == 0, F.lower("name")).when(turn == 1, F.translate("name", "AEIO", "ÀÉÎÖ")).when(turn == 2, F.col("name")).otherwise(F.concat("name", F.lit("?")))
+    rows = _table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("nation")).select("c_custkey", spelled.alias("name"))
+    return collation.looked_up(rows, nation, "name").select("c_custkey", "nation", "region")
+
+
+@query(f"SELECT invoice_id, correct, row_number() OVER (ORDER BY correct DESC, invoice_id) - 1 AS position FROM (SELECT invoice_id, count(*) FILTER (ok) AS correct FROM ({_CELLS}) GROUP BY 1)")
+def q_sorted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by fields found, written in order and read back with their places."""
+    at = f"{fixtures.folder(spark, 'sorted')}/scores"
+    told = results.scored(_reconciled(spark, sf_dir), fields(spark, sf_dir)).groupBy("invoice_id").agg(F.count_if("ok").alias("correct"))
+    ordered.write_ordered(told, at, ["correct", "invoice_id"], descending=("correct",))
+    return ordered.read_ordered(spark, at)
+
+
+# -- scores, accuracy, files
+
+
+@query(
+    f"""SELECT a.invoice_id, a.pos, round(1000 - greatest(0, b.x1 - a.x2) * 10 - abs((b.y1 + b.y2) / 2 - (a.y1 + a.y2) / 2) * 5 + b.confidence * 100, 6) AS in_line,
+  round(800 - greatest(0, greatest(a.y1, b.y1) - least(a.y2, b.y2)) * 10 - abs((b.x1 + b.x2) / 2 - (a.x1 + a.x2) / 2) * 2 + b.confidence * 100, 6) AS apart
+FROM ({LINES}) a JOIN ({LINES}) b ON a.invoice_id = b.invoice_id AND b.pos = a.pos + 1"""
+)
+def q_general_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The general score of each line as the value of the line before, as if in one line and as if apart."""
+    w = Window.partitionBy("invoice_id").orderBy("pos")
+    x = synth.ocr_lines(spark, sf_dir).withColumn("b", F.lead("box").over(w)).withColumn("c", F.lead("confidence").over(w)).withColumn("p", F.lead("pos").over(w)).where("p = pos + 1")
+    score = lambda same: F.round(g.score_general(F.col("box"), F.col("b"), F.col("c"), same), 6)
+    return x.select("invoice_id", "pos", score(True).alias("in_line"), score(False).alias("apart"))
+
+
+_BEFORE = ", ".join(f"('{f}', {v * 100})" for f, v in results.BASELINE.items())
+
+
+@query(
+    f"""SELECT field, correct, total, round(percent, 6) AS percent, round(percent - before, 6) AS change, CASE WHEN percent > before THEN 'UP' WHEN percent < before THEN 'DOWN' WHEN percent = before THEN 'SAME' END AS status
+FROM (SELECT *, correct * 100.0::DOUBLE / total AS percent FROM (SELECT coalesce(field, 'overall') AS field, count(*) FILTER (ok) AS correct, count(*) AS total FROM ({_CELLS}) GROUP BY ROLLUP (field))) LEFT JOIN (VALUES {_BEFORE}) AS b(f, before) ON field = f WHERE field <> 'overall'"""
+)
+def q_field_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percent of documents right in each field, against what it was before."""
+    told = results.field_accuracy(results.scored(_reconciled(spark, sf_dir), fields(spark, sf_dir))).where("field != 'overall'")
+    return results.against_baseline(told).select("field", "correct", "total", F.round("percent", 6).alias("percent"), F.round("change", 6).alias("change"), "status")
+
+
+_ENDINGS = ["PDF", "jpeg", "tif", "txt"]
+
+
+@query(
+    "SELECT doc_id, 'doc.' || doc_id || '.' || e AS name, CASE WHEN doc_id % 5 = 0 THEN '?' WHEN n_chars < 1024 THEN n_chars || ' B' ELSE (((n_chars * 10 + 512) // 1024) // 10) || '.' || (((n_chars * 10 + 512) // 1024) % 10) || ' KB' END AS size_text,"
+    " CASE e WHEN 'PDF' THEN '📋' WHEN 'txt' THEN '📄' ELSE '🖼' END AS sign FROM (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'PDF' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'tif' ELSE 'txt' END AS e FROM documents)"
+)
+def q_file_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as a list shows them: name, size and sign of their kind."""
+    d = _table(spark, sf_dir, "documents")
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("doc_id") % 4 + 1).cast("int"))
+    path = F.concat(F.when(F.col("doc_id") % 2 == 0, "C:\\in\\").otherwise("/in/"), F.lit("doc."), F.col("doc_id").cast("string"), F.lit("."), ending)
+    return d.select("doc_id", results.file_item(path, F.when(F.col("doc_id") % 5 != 0, F.col("n_chars"))).alias("i")).select("doc_id", "i.*")
+
+
+@query("SELECT event_id, event_type AS text, CASE event_id % 2 WHEN 0 THEN 0.8 ELSE 0.0 END::DOUBLE AS confidence FROM events")
+def q_scalar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of older replies whose text comes with a score or alone."""
+    e = _table(spark, sf_dir, "events")
+    quoted = F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))
+    told = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), quoted, F.lit(",0.8]"))).otherwise(quoted)
+    reply = F.concat(F.lit("[[[[0,0],[9,9]],"), told, F.lit("]]"))
+    return e.select("event_id", F.explode(pages.older_payload_lines(reply)).alias("l")).select("event_id", "l.text", "l.confidence")

@@ -49,10 +49,12 @@ def content_type(path):
 
 def payload_lines(payload):
     """Lines of a recogniser's reply (JSON with rec_texts, rec_scores, rec_polys): structs of text, confidence,
-    box; a missing score is 0, a missing polygon a null box."""
+    box; a missing score is 0, a missing polygon a null box; without texts there are no lines."""
     from docfields.functions.geometry import envelope
 
     reply = F.from_json(payload, "rec_texts array<string>, rec_scores array<double>, rec_polys array<array<array<double>>>")
-    zipped = F.arrays_zip(reply["rec_texts"], reply["rec_scores"], reply["rec_polys"])
-    return F.transform(zipped, lambda z: F.struct(z["rec_texts"].alias("text"), F.coalesce(z["rec_scores"], F.lit(0.0)).alias("confidence"), envelope(z["rec_polys"]).alias("box")))
+    scores = F.coalesce(reply["rec_scores"], F.array().cast("array<double>"))
+    polygons = F.coalesce(reply["rec_polys"], F.array().cast("array<array<array<double>>>"))
+    line = lambda t, i: F.struct(t.alias("text"), F.coalesce(F.get(scores, i), F.lit(0.0)).alias("confidence"), envelope(F.get(polygons, i)).alias("box"))
+    return F.transform(reply["rec_texts"], line)
 

@@ -176,7 +176,8 @@ def recognised(pages: DataFrame, make: Callable[[], object] = InkBoxes) -> DataF
 
 
 def older_payload_lines(payload: Column) -> Column:
-    """The same as payload_lines for the older reply, [[polygon, [text, score]], ...], with or without another list around it."""
+    """The same as payload_lines for the older reply, [[polygon, [text, score]], ...], with or without another list around it. In place
+    of [text, score] there may be the text alone, whose score is 0."""
     outer = F.from_json(payload, "array<array<string>>")
     nested = F.from_json(payload, "array<array<array<string>>>")
     single = F.when(F.size(outer) == 1, F.get(nested, F.lit(0)))
@@ -184,7 +185,7 @@ def older_payload_lines(payload: Column) -> Column:
     found = F.when(is_wrapped, single).otherwise(outer)
 
     def line(d: Column) -> Column:
-        told = F.from_json(d[1], "array<string>")
+        told = F.when(d[1].startswith("["), F.from_json(d[1], "array<string>")).otherwise(F.array(d[1]))
         return F.struct(told[0].alias("text"), F.coalesce(F.get(told, F.lit(1)).try_cast("double"), F.lit(0.0)).alias("confidence"), envelope(F.from_json(d[0], "array<array<double>>")).alias("box"))
 
     return F.transform(found, line)
