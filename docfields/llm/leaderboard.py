@@ -149,7 +149,8 @@ def changes(lines: DataFrame, vendors: DataFrame, items: DataFrame, *, top: int
     spark = lines.sparkSession
     folder = shared_path(spark, "leaderboard")
     told = arrivals(lines, vendors, items, batches)
-    told.write.partitionBy("batch").parquet(f"{folder}/cut")
+    # rebalanced, so that a batch is a few files of a good size and not one for each task
+    told.hint("rebalance", "batch").write.partitionBy("batch").parquet(f"{folder}/cut")
     cut = spark.read.schema(told.schema).parquet(f"{folder}/cut")
     latest = sorted(tuple(r) for r in cut.groupBy("batch").agg(F.max("shipped_day")).collect())
     store = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
