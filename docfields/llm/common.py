@@ -67,6 +67,20 @@ def materialize(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """The session with another value of a setting for a while; the one it had, or none, comes back."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text (null: 0), without building an array of them."""
     marks = F.regexp_replace(text, WORD, "x")

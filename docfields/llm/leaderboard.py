@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docfields.llm.common import materialize, shared_path
+from docfields.llm.common import materialize, setting, shared_path
 
 CHANGES = "nation_id int, arrival_day long, item_id long, batch int, change string, old_rank int, new_rank int, revenue long"
 STATE = "items binary, revenues binary, board binary"
@@ -164,8 +164,11 @@ def changes(lines: DataFrame, vendors: DataFrame, items: DataFrame, *, top: int
             rows = rows.where(F.col("shipped_day") + late_days >= seen)
         sums = rows.select("nation_id", "arrival_day", "item_id", "batch", "cents").mapInArrow(_add_up, SUMS)
         fed = sums.groupBy("nation_id").applyInPandasWithState(_feeder(top), CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
-        query = fed.writeStream.format("parquet").option("path", f"{folder}/changes").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-        query.awaitTermination()
+        stream = fed.writeStream.format("parquet").option("path", f"{folder}/changes").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        # the checkpoint lives as long as this call, in a folder whose file system checks its files: checksum files of Spark's own, one
+        # more for each partition of the state and batch, took as long as committing it
+        with setting(spark, "spark.sql.streaming.checkpoint.fileChecksum.enabled", "false"):
+            stream.start().awaitTermination()
         seen = day if seen is None else max(seen, day)
     if not latest:
         return spark.createDataFrame([], CHANGES)
