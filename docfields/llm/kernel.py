@@ -33,6 +33,10 @@ _LOWER[65:91] += 32
 _POWERS: dict[int, np.ndarray] = {}
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    return _SPACE[data]
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. n (modulo 2 ** 64), kept for later calls."""
     have = _POWERS.get(base)

@@ -15,6 +15,9 @@ A gram that occurs very often is cut into blocks of occurrences. Each block is s
 itself; its windows that aren't repeated within it, and one of each that is, are then
 matched between blocks by hash, a hash that a block has once or often counting once.
 
+Texts with a short period are thinned before they are cut out (see periodic), and long ones come in parts, so what a chunk
+holds doesn't depend on what its texts hold.
+
 Passages are found in the same pass: the anchor of a 400-byte window is that of every
 200-byte window around it, so the anchors of 200-byte windows include those of 400-byte ones.
 Runs of bytes covered by repeated 200-byte strings that hold over 50 words are passages; they
@@ -42,7 +45,7 @@ SHORT = 200
 PASSAGE_WORDS = 50
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long"
-PARTS = "task int, chunk int, meta binary, data binary"
+PARTS = "task int, chunk int, meta binary, data binary, spans binary"
 FOUND = "chunk int, bucket int, spans binary, hashes binary"
 
 
@@ -74,6 +77,29 @@ def anchors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) ->
     return hashes[own[first]], own[first], starts[first], starts[last], text[first]
 
 
+def periodic(data: np.ndarray, found: tuple[np.ndarray, ...], short: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the anchors() of short windows are needed, spans (text number, begin, end) of bytes that repeat where they are).
+
+    Where a text repeats itself every d <= short - GRAM bytes, the same gram is an anchor every d bytes, so that each byte would be
+    cut out width / d times. All windows of an anchor in such a run begin between the one before and it; if they end within
+    the run, they are those of every other such anchor. So one of these anchors stands for all of them, and if there are
+    two or more, all their windows occur elsewhere: what they cover is a span."""
+    gram, anchor, _, _, text = found
+    needed = np.ones(len(anchor), bool)
+    step = np.diff(anchor)
+    like = (gram[1:] == gram[:-1]) & (text[1:] == text[:-1]) & (step <= short - GRAM)
+    spans = []
+    if like.any():
+        new = np.flatnonzero(np.concatenate([[True], (like[1:] != like[:-1]) | (step[1:] != step[:-1])]))
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(like)], strict=True):  # anchors a .. b are d apart
+            d, begin, end = int(step[a]), int(anchor[a]), int(anchor[b]) + GRAM
+            inner = int(np.searchsorted(anchor[a + 1 : b + 1], end - width, "right"))  # of a + 1, ..., those whose windows end in time
+            if like[a] and inner > 1 and np.array_equal(data[begin : end - d], data[begin + d : end]):
+                needed[a + 2 : a + 1 + inner] = False
+                spans.append((int(text[a]), begin + 1, int(anchor[a + inner]) + width))
+    return needed, np.array(spans, np.int64).reshape(-1, 3)
+
+
 class Chunk:
     """A chunk's texts in a fixed order; equal texts of it are scanned once."""
 
@@ -89,18 +115,36 @@ class Chunk:
         self.firsts = [c[0] for c in copies.values()]
         self.copied = {i for c in copies.values() if len(c) > 1 for i in c}
 
-    def runs(self) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]]:
-        """(bytes, anchors() of short windows, places in the chunk of the texts) of each slice."""
+    def pieces(self) -> Iterator[tuple[list[int], list[bytes], int, int, int]]:
+        """(places of texts, their bytes, place of the first byte in its text, anchors from, to) about kernel.SLICE bytes at a
+        time. A long text comes in parts that overlap by the widest window on both sides, so that all windows of an anchor
+        lie in the part that has the anchor."""
         own = [self.texts[i] for i in self.firsts]
         for a, b in kernel.slices(own):
-            data = np.frombuffer(b"\n".join([*own[a:b], b""]), np.uint8)
-            lengths = np.array([len(t) for t in own[a:b]])
+            if b - a > 1 or len(own[a]) <= 2 * kernel.SLICE:
+                yield self.firsts[a:b], own[a:b], 0, 0, 1 << 62
+                continue
+            for at in range(0, len(own[a]), kernel.SLICE):
+                low = max(0, at - self.width)
+                yield [self.firsts[a]], [own[a][low : at + kernel.SLICE + self.width]], low, at - low, at - low + kernel.SLICE
+
+    def runs(self) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]]:
+        """(bytes, anchors() of short windows that are needed, places in the chunk of the texts, where each begins and its length,
+        place of the first byte in its text, spans of periodic()) of each of pieces()."""
+        for places, texts, base, low, high in self.pieces():
+            data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+            lengths = np.array([len(t) for t in texts])
             begin = np.cumsum(lengths + 1) - lengths - 1
-            yield data, anchors(data, begin, begin + lengths, self.short), np.array(self.firsts[a:b])
+            found = anchors(data, begin, begin + lengths, self.short)
+            mine = (found[1] >= low) & (found[1] < high)
+            found = found if mine.all() else tuple(x[mine] for x in found)
+            needed, spans = periodic(data, found, self.short, self.width)
+            found = found if needed.all() else tuple(x[needed] for x in found)
+            yield data, found, np.array(places), begin, lengths, base, spans
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """(sorted distinct 48-bit gram values, how often each is an anchor)."""
-        every = [found[0] >> blobs.HASH_SHIFT for _, found, _ in self.runs()]
+        every = [run[1][0] >> blobs.HASH_SHIFT for run in self.runs()]
         return np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
@@ -129,7 +173,7 @@ def _cutter(n_buckets: int, n_tasks: int, short: int, width: int):
     """PARTS of a chunk: the bytes under all windows, short and wide, whose anchor's gram occurs elsewhere, by
     task. meta has, of each, gram value, block + 1 if the gram is in blocks, place of the text in the
     chunk, place of the first byte in the text, bytes before the anchor, length; first byte of and
-    number of short windows, and the same of wide ones (none where they have other anchors)."""
+    number of short windows, and the same of wide ones (none where they have other anchors). spans: those of periodic()."""
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         number, chunk = table.column("chunk")[0].as_py(), Chunk(table, short, width)
@@ -138,14 +182,13 @@ def _cutter(n_buckets: int, n_tasks: int, short: int, width: int):
         told = dict(zip(answers.column("bucket").to_pylist(), answers.column("levels").to_pylist(), strict=True))
         for b, at, _ in blobs.by_bucket(values, n_buckets):
             levels[at] = blobs.unpack_small(told[b])
-        metas, datas = [], []
-        for data, (grams, anchor, first, last, text), places in chunk.runs():
+        metas, datas, local = [], [], []
+        for data, (grams, anchor, first, last, text), places, origin, lengths, base, spans in chunk.runs():
+            local.append(np.stack([places[spans[:, 0]], spans[:, 1] - origin[spans[:, 0]] + base, spans[:, 2] - origin[spans[:, 0]] + base, np.ones(len(spans), np.int64)], axis=1))
             value = grams >> blobs.HASH_SHIFT
             level = levels[np.searchsorted(values, value)].astype(np.int64) if len(values) else np.zeros(0, np.int64)
             some = level > 0
             value, level, anchor, first, last, text = (x[some] for x in (value, level, anchor, first, last, text))
-            lengths = np.array([len(chunk.texts[i]) for i in places])
-            origin = np.cumsum(lengths + 1) - lengths - 1
             n_short, n_wide, first_wide = last - first + 1, np.zeros(len(first), np.int64), first.copy()
             _, wide_anchor, wide_first, wide_last, _ = anchors(data, origin, origin + lengths, width)
             if len(wide_anchor) and len(anchor):  # both in ascending order, an anchor once each
@@ -157,7 +200,7 @@ def _cutter(n_buckets: int, n_tasks: int, short: int, width: int):
             spread = kernel.mix(first.astype(np.uint64) * np.uint64(1_000_003) + places[text].astype(np.uint64) + np.uint64(number << 40))
             n_blocks = np.uint64(1) << np.maximum(level - int(np.log2(BLOCK)), 0).astype(np.uint64)
             block = np.where(n_blocks > 1, (spread % n_blocks).astype(np.int64) + 1, 0)
-            place = begin - origin[text]
+            place = begin - origin[text] + base
             metas.append(np.stack([value.astype(np.int64), block, places[text], place, anchor - begin, end - begin, first - begin, n_short, first_wide - begin, n_wide], axis=1))
             raw = data.tobytes()
             datas += [raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
@@ -168,9 +211,12 @@ def _cutter(n_buckets: int, n_tasks: int, short: int, width: int):
             order = np.argsort(task, kind="stable")
             pack = zstandard.ZstdCompressor(level=3)
             for at in np.split(order, np.flatnonzero(np.diff(task[order])) + 1):
-                out.append((int(task[at[0]]), number, pack.compress(meta[at].tobytes()), pack.compress(b"".join(datas[i] for i in at))))
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["task", "chunk", "meta", "data"])
+                out.append((int(task[at[0]]), number, pack.compress(meta[at].tobytes()), pack.compress(b"".join(datas[i] for i in at)), None))
+        here = np.concatenate(local) if local else np.zeros((0, 4), np.int64)
+        if len(here):
+            out.append((number % n_tasks, number, zstandard.compress(b""), zstandard.compress(b""), zstandard.compress(here.tobytes())))
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["task", "chunk", "meta", "data", "spans"])
 
     return cut
 
@@ -261,6 +307,11 @@ def _hot_windows(hot: np.ndarray, group: np.ndarray, start: np.ndarray, shift: n
     return hashes[one], owner[one], at[one], ~often
 
 
+def found_table(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.table([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds)], names=["chunk", "bucket", "spans", "hashes"])
+
+
 def _finder(n_hashes: int, short: int, width: int):
     """FOUND of a task: spans (place, begin, end, whether width bytes or more) by chunk; for grams in blocks,
     window hashes by bucket: (hash, chunk or -1 if the block has it often, place, begin, size)."""
@@ -271,6 +322,9 @@ def _finder(n_hashes: int, short: int, width: int):
         data = np.frombuffer(b"".join(unpack.decompress(d) for d in table.column("data").to_pylist()), np.uint8)
         chunk = np.repeat(np.array(table.column("chunk").to_pylist()), [len(m) for m in metas])
         value, block, place, first, before, length, at_short, n_short, at_wide, n_wide = np.concatenate(metas).T
+        if not len(value):
+            rows = [(c, None, s, None) for c, s in zip(table.column("chunk").to_pylist(), table.column("spans").to_pylist(), strict=True) if s is not None]
+            return found_table(rows)
         start = np.cumsum(length) - length
         _, group = np.unique(np.stack([value, block], axis=1), axis=0, return_inverse=True)
         group = group.reshape(-1)
@@ -281,6 +335,7 @@ def _finder(n_hashes: int, short: int, width: int):
         spans = np.concatenate(rows) if rows else np.zeros((0, 5), np.int64)
         spans = np.unique(spans, axis=0)
         out = [(int(c), None, zstandard.compress(np.ascontiguousarray(spans[spans[:, 0] == c, 1:]).tobytes()), None) for c in np.unique(spans[:, 0])]
+        out += [(c, None, s, None) for c, s in zip(table.column("chunk").to_pylist(), table.column("spans").to_pylist(), strict=True) if s is not None]
         hot = np.flatnonzero(block > 0)
         if len(hot):
             prefix = kernel.prefix_hash(data)
@@ -292,8 +347,7 @@ def _finder(n_hashes: int, short: int, width: int):
             bucket = (every[:, 0].astype(np.uint64) % np.uint64(n_hashes)).astype(np.int64)
             for b in np.unique(bucket):
                 out.append((None, int(b), None, zstandard.compress(np.ascontiguousarray(every[bucket == b]).tobytes())))
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["chunk", "bucket", "spans", "hashes"])
+        return found_table(out)
 
     return find
 
@@ -324,13 +378,19 @@ def covered(lengths: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.cumsum(depth) > 0, begin
 
 
+def n_words(text: bytes) -> int:
+    """Words between white space, without a list of them."""
+    space = kernel.is_space(np.frombuffer(text, np.uint8))
+    return int(np.count_nonzero(space[:-1] & ~space[1:])) + int(len(space) > 0 and not space[0])
+
+
 def passage_bytes(text: bytes, repeated: np.ndarray, words: int = PASSAGE_WORDS) -> int:
     """Bytes in runs of repeated ones that hold over `words` whole words."""
     edges = np.flatnonzero(np.diff(repeated.astype(np.int8), prepend=0, append=0))
     runs = [(a, b) for a, b in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True)]
     total = 0
     for a, b in runs:
-        whole = len(text[a:b].split())
+        whole = n_words(text[a:b])
         whole -= a > 0 and not text[a - 1 : a].isspace() and not text[a : a + 1].isspace()
         whole -= b < len(text) and not text[b - 1 : b].isspace() and not text[b : b + 1].isspace()
         total += b - a if whole > words else 0
