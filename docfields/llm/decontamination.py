@@ -4,9 +4,8 @@ An item of m normalised characters may occur with up to e = floor(rate * m) edit
 split into e + 1 pieces; in any such occurrence one piece is untouched, so every
 occurrence has an exact hit of a piece. An Aho-Corasick automaton finds all hits of all
 pieces in one pass over a text; around each hit Myers' algorithm gives the smallest edit
-distance of the whole item to any part of the surroundings. Short items, of fewer than
-least_chars characters, count only where they occur without edits, between blanks. Items are taken in blocks of
-bounded size, every block against all rows; documents are never shuffled.
+distance of the whole item, with the blanks around it, to any part of the surroundings. Items are
+taken in blocks of bounded size, every block against all rows; documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -22,7 +21,6 @@ from pyspark.sql import types as T
 from docfields.llm.common import materialize
 
 RATE = 0.08
-LEAST_CHARS = 25
 BLOCK_CHARS = 8 << 20
 
 MATCHES = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType())]))
@@ -68,10 +66,10 @@ class Myers:
 class Matcher:
     """Automaton of all pieces of a block of items."""
 
-    def __init__(self, items: list[tuple[int | None, str]], rate: float, least_chars: int) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], rate: float) -> None:
         import ahocorasick
 
-        self.items = [(item_id, text, int(rate * len(text)) if len(text) - 2 >= least_chars else 0) for item_id, text in items]
+        self.items = [(item_id, text, int(rate * (len(text) - 2))) for item_id, text in items]
         self.verifiers: dict[int, Myers] = {}
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, edits) in enumerate(self.items):
@@ -129,21 +127,21 @@ def merged(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _MATCHERS: dict[int, Matcher] = {}
 
 
-def _matcher(block: Broadcast, rate: float, least_chars: int) -> Matcher:
+def _matcher(block: Broadcast, rate: float) -> Matcher:
     """The worker's automaton for a block; built once in each worker."""
-    key = hash((rate, least_chars, *block.value))
+    key = hash((rate, *block.value))
     if key not in _MATCHERS:
         _MATCHERS.clear()  # an automaton is as large as a block allows; a task needs one
-        _MATCHERS[key] = Matcher(block.value, rate, least_chars)
+        _MATCHERS[key] = Matcher(block.value, rate)
     return _MATCHERS[key]
 
 
-def _scan(block: Broadcast, rate: float, least_chars: int):
+def _scan(block: Broadcast, rate: float):
     """Arrow function: normalised texts to the matches of a block's items."""
 
     @F.arrow_udf(MATCHES)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = _matcher(block, rate, least_chars)
+        matcher = _matcher(block, rate)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
         for batch in batches:
             yield pa.array([matcher.find(t.as_py()) for t in batch], kind)
@@ -166,18 +164,18 @@ def item_blocks(benchmark: DataFrame, block_chars: int, nameless: bool) -> Itera
         yield block
 
 
-def matches_of(spark: SparkSession, benchmark: DataFrame, text: Column, *, rate: float = RATE, least_chars: int = LEAST_CHARS, block_chars: int = BLOCK_CHARS, nameless: bool = False) -> Iterator[Column]:
+def matches_of(spark: SparkSession, benchmark: DataFrame, text: Column, *, rate: float = RATE, block_chars: int = BLOCK_CHARS, nameless: bool = False) -> Iterator[Column]:
     """For each block of items: array<struct<item_id, distance>> of those that occur in a text; empty if none does.
 
-    Null and empty texts match nothing. Items of fewer than least_chars normalised characters
-    match without edits only; items with a null id are looked for only if nameless, those
+    Null and empty texts match nothing. An item of m normalised characters, between blanks, may have floor(rate * m)
+    edits, whatever m is (none below 1 / rate characters); items with a null id are looked for only if nameless, those
     without a letter or digit never; items with the same text are all
     reported, rows with the same item_id once each. An empty benchmark matches nothing. Rows
     don't affect each other, so repeats, null doc_ids and other columns need no care. The driver
     holds one block at a time.
     """
     for block in item_blocks(benchmark, block_chars, nameless):
-        yield _scan(spark.sparkContext.broadcast(block), rate, least_chars)(normalised(text))
+        yield _scan(spark.sparkContext.broadcast(block), rate)(normalised(text))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -138,13 +138,20 @@ def test_matches_against_every_distance(spark):
     for i, t in enumerate(texts):
         for k, item in items:
             p = plain(item)
-            edits = int(0.08 * len(p)) if len(p) - 2 >= 25 else 0
+            edits = int(0.08 * (len(p) - 2))
             d = 0 if p in plain(t) else brute.distance(p, plain(t)) if edits and len(t or "") < 5000 else 99
             if d <= edits:
                 want.append((i, k, d))
     assert got == sorted(want) and {d for _, _, d in want} >= {0, 1, 2}
 
 
+def test_short_items_may_have_their_share_of_edits(spark):
+    """Items of 12, 13 and 24 characters: floor(0.08 m) edits at every length."""
+    docs = spark.createDataFrame([(1, "say abcd efgh ijk now"), (2, "say abcd efgh xjk now"), (3, "say abcd efgh ijkl now"), (4, "say abcd xfgh ijkl now"), (5, "one abcd efgh ijkl mnop qrsx two")], "doc_id long, text string")
+    items = spark.createDataFrame([(12, "abcd efgh ij"), (13, "abcd efgh ijk"), (24, "abcd efgh ijkl mnop qrst")], "item_id long, text string")
+    assert sorted(map(tuple, decontamination.contaminated(docs, items).collect())) == [(1, 13, 0), (2, 13, 1), (3, 13, 1), (5, 13, 1), (5, 24, 1)]
+
+
 def test_weights_of_importance(spark):
     """Log ratios by word and pair with the operator's buckets, and Gumbel keys; ties of the last key."""
     rows = [(i, t) for i, t in enumerate(["good text here", "good words", "bad bad text", "", None, "bad words here", "good good"])] + [(0, "good text here")]
