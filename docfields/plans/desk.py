@@ -146,16 +146,15 @@ _ASKED = """SELECT event_id AS place, user_id % 60 AS batch, CASE user_id % 5 WH
 _GONE = "IN (401, 403, 404, 410, 429, 503)"
 
 
-@query(
-    f"""WITH x AS ({_ASKED.format(events="events")}), y AS (SELECT *, count(*) FILTER (primary_code {_GONE}) OVER w AS p_lost, count(*) FILTER (secondary_code {_GONE}) OVER w AS s_lost,
-    first_value(CASE WHEN primary_code {_GONE} THEN secondary_code {_GONE} END IGNORE NULLS) OVER (PARTITION BY batch ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS b_lost FROM x
-    WINDOW w AS (PARTITION BY batch ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-  z AS (SELECT *, CASE WHEN engine = 'secondary' AND has_secondary THEN 'named' WHEN has_primary AND engine IN ('auto', 'primary') AND p_lost = 0 THEN
-      CASE WHEN primary_code = 200 THEN 'primary' WHEN primary_code {_GONE} AND engine = 'auto' THEN 'second' ELSE 'failed' END
-    WHEN engine = 'auto' AND has_secondary AND NOT (has_primary AND coalesce(b_lost, false)) THEN 'second' ELSE 'ocr' END AS step FROM y)
-SELECT place, batch, CASE step WHEN 'named' THEN 'secondary' WHEN 'second' THEN CASE WHEN has_secondary AND secondary_code = 200 THEN 'secondary' ELSE 'ocr' END WHEN 'failed' THEN 'primary' ELSE step END AS answered_by,
-  CASE step WHEN 'named' THEN s_lost > 0 OR secondary_code <> 200 WHEN 'failed' THEN true ELSE false END AS has_error FROM z"""
-)
+_ENDS = f"""SELECT *, min(place) FILTER (p_try AND p_gone) OVER (PARTITION BY batch) AS p_end FROM (SELECT *, has_primary AND engine IN ('auto', 'primary') AS p_try, engine = 'secondary' AND has_secondary AS named,
+  primary_code {_GONE} AS p_gone, secondary_code {_GONE} AS s_gone FROM ({_ASKED.format(events="events")}))"""
+_MACHINE = f"""SELECT *, s_open AND (named OR (engine = 'auto' AND has_secondary AND (NOT p_called OR p_gone))) AS s_called FROM (SELECT *, p_try AND coalesce(place <= p_end, true) AS p_called, coalesce(place <= s_end, true) AS s_open
+  FROM (SELECT *, min(place) FILTER (s_gone AND (named OR (place = p_end AND engine = 'auto' AND has_secondary))) OVER (PARTITION BY batch) AS s_end FROM ({_ENDS})))"""
+_ROUTE = """place, batch, CASE WHEN named THEN 'secondary' WHEN p_called AND NOT (p_gone AND engine = 'auto') THEN 'primary' WHEN s_called AND secondary_code = 200 THEN 'secondary' ELSE 'ocr' END AS answered_by,
+  CASE WHEN named THEN NOT (s_open AND secondary_code = 200) WHEN p_called AND NOT (p_gone AND engine = 'auto') THEN primary_code <> 200 ELSE false END AS has_error"""
+
+
+@query(f"SELECT {_ROUTE} FROM ({_MACHINE})")
 def q_engine_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who answers for each file of each batch; a provider that fails for good isn't asked again in its batch."""
     asked = spark.sql(_ASKED.replace("{events}", "{e}"), e=_table(spark, sf_dir, "events"))

@@ -12,7 +12,7 @@ from docfields.functions.register import register
 from docfields.operators import bands, layout, results
 from docfields.plans import fixtures, synth
 from docfields.plans.catalog import _CELLS, _PLAIN, _RESULTS, _ROWS, DOCS, LINES, NORM_LINES, _amount_sql, _reconciled, _results, _sql, _table, fields, query
-from docfields.plans.desk import _ASKED, _GONE
+from docfields.plans.desk import _ASKED, _MACHINE, _ROUTE
 from docfields.sinks import ordered
 from docfields.sinks.kept import KeptTable
 from docfields.sources import breaker, pages
@@ -63,17 +63,7 @@ def q_live_standing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- providers and their replies
 
-_ENDS = f"""SELECT *, min(place) FILTER (p_try AND p_gone) OVER b AS p_end FROM (SELECT *, has_primary AND engine IN ('auto', 'primary') AS p_try, engine = 'secondary' AND has_secondary AS named,
-  primary_code {_GONE} AS p_gone, secondary_code {_GONE} AS s_gone FROM ({_ASKED.format(events="events")})) WINDOW b AS (PARTITION BY batch)"""
-_MACHINE = f"""SELECT *, p_try AND coalesce(place <= p_end, true) AS p_called, coalesce(place <= s_end, true) AS s_open
-  FROM (SELECT *, min(place) FILTER (s_gone AND (named OR (place = p_end AND engine = 'auto' AND has_secondary))) OVER (PARTITION BY batch) AS s_end FROM ({_ENDS}))"""
-
-
-@query(
-    f"""SELECT place, batch, CASE WHEN named THEN 'secondary' WHEN p_called AND NOT (p_gone AND engine = 'auto') THEN 'primary' WHEN s_called AND secondary_code = 200 THEN 'secondary' ELSE 'ocr' END AS answered_by,
-  CASE WHEN named THEN NOT (s_open AND secondary_code = 200) WHEN p_called AND NOT (p_gone AND engine = 'auto') THEN primary_code <> 200 ELSE false END AS has_error, p_called AS primary_called, s_called AS secondary_called
-FROM (SELECT *, s_open AND (named OR (engine = 'auto' AND has_secondary AND (NOT p_called OR p_gone))) AS s_called FROM ({_MACHINE}))"""
-)
+@query(f"SELECT {_ROUTE}, p_called AS primary_called, s_called AS secondary_called FROM ({_MACHINE})")
 def q_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who answers for each file of each batch, in the files' order, and which providers are called for it."""
     asked = spark.sql(_ASKED.replace("{events}", "{e}"), e=_table(spark, sf_dir, "events"))

@@ -57,42 +57,47 @@ def body_summary(body: Column) -> Column:
     return F.when(F.length(message) > 0, F.concat(status, F.lit(": "), message)).otherwise(cut)
 
 
-def first_failures(files: DataFrame) -> DataFrame:
-    """Per batch: the place of the first file for which either provider fails for good, and whether the second
-    does so for the first's file. files: batch, place, primary_code, secondary_code."""
+def closings(files: DataFrame) -> DataFrame:
+    """Per batch: the place of the file after which each provider is closed, as it failed for good when it was called: the first
+    where it is asked for by name or, the first by auto, comes first; and the second where it is called in place of the first just
+    then. files: as for routed."""
     gone = lambda c: F.col(c).isin(*PERMANENT)
-    first = F.min_by(F.struct("place", gone("secondary_code").alias("both")), F.when(gone("primary_code"), F.col("place")))
-    return files.groupBy("batch").agg(
-        F.min(F.when(gone("primary_code"), F.col("place"))).alias("primary_end"),
-        F.min(F.when(gone("secondary_code"), F.col("place"))).alias("secondary_end"),
-        F.coalesce(first["both"], F.lit(False)).alias("both_end"),
+    tried = F.col("has_primary") & F.col("engine").isin("auto", "primary") & gone("primary_code")
+    named = (F.col("engine") == "secondary") & F.col("has_secondary") & gone("secondary_code")
+    instead = (F.col("engine") == "auto") & F.col("has_secondary") & gone("secondary_code")
+    ends = files.groupBy("batch").agg(
+        F.min(F.when(tried, F.col("place"))).alias("primary_end"),
+        F.min(F.when(named, F.col("place"))).alias("_named"),
+        F.min_by(instead, F.when(tried, F.col("place"))).alias("_instead"),
     )
+    return ends.select("batch", "primary_end", F.least("_named", F.when(F.col("_instead"), F.col("primary_end"))).alias("secondary_end"))
 
 
 def routed(files: DataFrame) -> DataFrame:
     """files (batch, place, engine, has_primary, has_secondary, primary_code, secondary_code: what each would
-    reply) with answered_by ("primary", "secondary", "ocr") and has_error.
+    reply) with answered_by ("primary", "secondary", "ocr") and has_error. For replies that are all known; where a provider is
+    to be called only while it is open, see breaker.route_in_order, which gives the same.
 
     The engine asked for is auto, primary, secondary or ocr. A provider asked for by name never falls back
     to another while it can be asked; auto goes from the first to the second to the recogniser
-    where a provider fails for good, but a passing failure of the first is an error row even then."""
-    b = first_failures(files).withColumnRenamed("batch", "_batch")
-    x = files.join(b, F.col("batch") == F.col("_batch")).drop("_batch")
+    where a provider fails for good, but a passing failure of the first is an error row even then. A second provider that fails in
+    first place, as the first is closed or absent, stays open."""
+    b = closings(files).withColumnRenamed("batch", "_batch")
+    x = files.join(b, F.col("batch").eqNullSafe(F.col("_batch"))).drop("_batch")
     place, engine = F.col("place"), F.col("engine")
     primary_open = F.col("primary_end").isNull() | (place <= F.col("primary_end"))
     secondary_open = F.col("secondary_end").isNull() | (place <= F.col("secondary_end"))
     ok = lambda c: F.col(c) == OK
     row = lambda by, wrong: F.struct(F.lit(by).alias("answered_by"), wrong.alias("has_error"))
     no, yes = F.lit(False), F.lit(True)
-    second_or_ocr = F.when(F.col("has_secondary") & ok("secondary_code"), row("secondary", no)).otherwise(row("ocr", no))
+    second_or_ocr = F.when(F.col("has_secondary") & secondary_open & ok("secondary_code"), row("secondary", no)).otherwise(row("ocr", no))
     by_name = row("secondary", ~(secondary_open & ok("secondary_code")))
     failed = F.when(F.col("primary_code").isin(*PERMANENT) & (engine == "auto"), second_or_ocr).otherwise(row("primary", yes))
     first = F.when(ok("primary_code"), row("primary", no)).otherwise(failed)
-    dropped = F.col("has_primary") & F.col("both_end")
     route = (
         F.when((engine == "secondary") & F.col("has_secondary"), by_name)
         .when(F.col("has_primary") & engine.isin("auto", "primary") & primary_open, first)
-        .when((engine == "auto") & F.col("has_secondary") & ~dropped, second_or_ocr)
+        .when(engine == "auto", second_or_ocr)
         .otherwise(row("ocr", no))
     )
     return x.withColumn("_r", route).select(*files.columns, "_r.answered_by", "_r.has_error")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docfields.functions import lexicon as lx
 from docfields.sinks.kept import KeptTable
-from docfields.sources import breaker, replies
+from docfields.sources import breaker, providers, replies
 from docfields.streaming import standing
 from tests.sql import same_as_sql
 
@@ -116,6 +116,13 @@ def test_breaker_in_order(spark):
     assert breaker.route_in_order(spark.createDataFrame([], ASKED), first, second).collect() == []
 
 
+def test_known_replies_are_routed_alike(spark):
+    rows = [(b, p, e, f is True, s, x, y) for b, p, e, f, s, x, y in asked(800, 6)]
+    files = spark.createDataFrame(rows, ASKED).withColumnRenamed("a", "primary_code").withColumnRenamed("b", "secondary_code")
+    got = {r.place: (r.answered_by, r.has_error) for r in providers.routed(files).collect()}
+    assert got == {p: w[:2] for b in {r[0] for r in rows} for p, w in machine([r[1:] for r in rows if r[0] == b]).items()}
+
+
 def test_breaker_stays_closed_over_restarts(spark, tmp_path):
     rows = asked(600, 5)
     for part in (rows[:200], rows[200:400], rows[400:]):
