@@ -76,6 +76,7 @@ def _iso(year: Column, month: Column, day: Column) -> Column:
 def extract_date(text: Column, norm: Column) -> Column:
     """ISO date of a text: day, month, year in digits, else day, French month name, year (in its
     normal form). Digits that make no date aren't tried as a name."""
+    # fixed values: dates in digits; dates with a month's name
     digits, named = r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})\b", r"\b(\d{1,2})\s+([a-z]+)\s+(\d{4})\b"
     table = F.str_to_map(F.lit(",".join(f"{name}:{k}" for k, name in enumerate(lx.MONTHS, 1))), F.lit(","), F.lit(":"))
 

@@ -122,6 +122,7 @@ def inline_value(field: Column, text: Column, *, compat: bool = True) -> Column:
 
 def number_quality(value: Column) -> Column:
     """How much a text looks like an invoice number, from -0.3 to 0.3."""
+    # fixed values: marks of a number, years, lengths, and the weight of each
     up, digits = F.upper(value), value.rlike("^[0-9]+$")
     score = F.when(up.contains("INV") | up.contains("FAC"), F.lit(0.25)).otherwise(F.lit(0.0))
     score = score + F.when(value.rlike("2023|2024|2025|2026"), F.lit(0.2)).otherwise(F.lit(0.0))

@@ -229,3 +229,28 @@ def q_scalar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), quoted, F.lit(",0.8]"))).otherwise(quoted)
     reply = F.concat(F.lit("[[[[0,0],[9,9]],"), told, F.lit("]]"))
     return e.select("event_id", F.explode(pages.older_payload_lines(reply)).alias("l")).select("event_id", "l.text", "l.confidence")
+
+
+# -- rows of lines that overlap in part, and in chains
+
+_SCATTERED = """SELECT CAST(l_orderkey AS VARCHAR(20)) AS invoice_id, l_linenumber AS pos, CAST(l_partkey * 7 % 60 AS DOUBLE) AS y1, CAST(l_partkey * 7 % 60 + CASE l_partkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 10 WHEN 2 THEN 15 ELSE 24 END AS DOUBLE) AS y2,
+  CAST(l_suppkey * 37 % 400 AS DOUBLE) AS x1, CAST(l_suppkey * 37 % 400 + 40 AS DOUBLE) AS x2 FROM {lineitem}"""
+
+
+@query(
+    f"""WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY y1, pos) AS n FROM ({_SCATTERED.format(lineitem="lineitem")})),
+  r(invoice_id, n, parent, seeds) AS (SELECT invoice_id, n, n, [{{'n': n, 'y1': y1, 'y2': y2}}] FROM l WHERE n = 1
+    UNION ALL SELECT invoice_id, n, coalesce(joined, n), CASE WHEN joined IS NULL THEN list_append(seeds, {{'n': n, 'y1': y1, 'y2': y2}}) ELSE seeds END
+    FROM (SELECT l.invoice_id, l.n, l.y1, l.y2, r.seeds, list_filter(r.seeds, lambda s: least(s.y2 - s.y1, l.y2 - l.y1) > 0 AND (least(s.y2, l.y2) - greatest(s.y1, l.y1)) / least(s.y2 - s.y1, l.y2 - l.y1) > 0.5)[1].n AS joined
+      FROM r JOIN l ON l.invoice_id = r.invoice_id AND l.n = r.n + 1)),
+  cut AS (SELECT l.*, r.parent, CASE WHEN greatest(y2 - y1, lag(y2 - y1) OVER w) > 0 AND x1 - lag(x2) OVER w > 5 * greatest(y2 - y1, lag(y2 - y1) OVER w) THEN 1 ELSE 0 END AS c
+    FROM l JOIN r ON l.invoice_id = r.invoice_id AND l.n = r.n WINDOW w AS (PARTITION BY l.invoice_id, r.parent ORDER BY x1, l.n)),
+  part AS (SELECT *, sum(c) OVER (PARTITION BY invoice_id, parent ORDER BY x1, n) AS p FROM cut),
+  placed AS (SELECT *, avg((y1 + y2) / 2) OVER (PARTITION BY invoice_id, parent, p) AS my, avg((x1 + x2) / 2) OVER (PARTITION BY invoice_id, parent, p) AS mx FROM part)
+SELECT invoice_id, pos, CAST(dense_rank() OVER (PARTITION BY invoice_id ORDER BY parent, my, mx, p) - 1 AS INT) AS row_idx, CAST(row_number() OVER (PARTITION BY invoice_id, parent, p ORDER BY x1, n) - 1 AS INT) AS col_idx FROM placed"""
+)
+def q_cluster_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visual rows of lines scattered over a page, which overlap by any share, in chains, and some without height."""
+    flat = spark.sql(_SCATTERED.replace("{lineitem}", "{l}"), l=_table(spark, sf_dir, "lineitem"))
+    lines = synth.boxed(flat.select("*", F.lit("t").alias("text"), F.lit(0.9).alias("confidence"), F.lit(0).alias("page_index"), F.lit(0).alias("line_index")))
+    return layout.visual_rows(lines).select("invoice_id", "pos", "row_idx", "col_idx")
