@@ -27,7 +27,7 @@ are reported, not removed, as removal goes by 400 bytes.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,10 +91,12 @@ def periodic(data: np.ndarray, found: tuple[np.ndarray, ...], short: int, width:
     spans = []
     if like.any():
         new = np.flatnonzero(np.concatenate([[True], (like[1:] != like[:-1]) | (step[1:] != step[:-1])]))
-        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(like)], strict=True):  # anchors a .. b are d apart
+        stop = np.append(new[1:], len(like))
+        long = like[new] & (anchor[stop] + GRAM - anchor[new] >= width + 2 * step[new])  # hardly any: two windows' anchors at least
+        for a, b in zip(new[long].tolist(), stop[long].tolist(), strict=True):  # anchors a .. b are d apart
             d, begin, end = int(step[a]), int(anchor[a]), int(anchor[b]) + GRAM
             inner = int(np.searchsorted(anchor[a + 1 : b + 1], end - width, "right"))  # of a + 1, ..., those whose windows end in time
-            if like[a] and inner > 1 and np.array_equal(data[begin : end - d], data[begin + d : end]):
+            if inner > 1 and np.array_equal(data[begin : end - d], data[begin + d : end]):
                 needed[a + 2 : a + 1 + inner] = False
                 spans.append((int(text[a]), begin + 1, int(anchor[a + inner]) + width))
     return needed, np.array(spans, np.int64).reshape(-1, 3)
@@ -142,15 +144,16 @@ class Chunk:
             found = found if needed.all() else tuple(x[needed] for x in found)
             yield data, found, np.array(places), begin, lengths, base, spans
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """(sorted distinct 48-bit gram values, how often each is an anchor)."""
-        every = [run[1][0] >> blobs.HASH_SHIFT for run in self.runs()]
-        return np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+def gram_counts(runs: Iterable[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct 48-bit gram values, how often each is an anchor) of Chunk.runs()."""
+    every = [run[1][0] >> blobs.HASH_SHIFT for run in runs]
+    return np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def _asker(n_buckets: int, short: int, width: int):
     def ask(table: pa.Table) -> pa.Table:
-        values, counts = Chunk(table, short, width).grams()
+        values, counts = gram_counts(Chunk(table, short, width).runs())
         out = [(b, blobs.pack_sorted(q), blobs.pack(counts[at].astype(np.uint64))) for b, at, q in blobs.by_bucket(values, n_buckets)]
         number = table.column("chunk")[0].as_py()
         cols = ([number] * len(out), [r[0] for r in out], [r[1] for r in out], [r[2] for r in out])
@@ -177,13 +180,14 @@ def _cutter(n_buckets: int, n_tasks: int, short: int, width: int):
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         number, chunk = table.column("chunk")[0].as_py(), Chunk(table, short, width)
-        values, _ = chunk.grams()
+        runs = list(chunk.runs())  # the chunk's bytes once more and its anchors, some of them in a hundred bytes
+        values, _ = gram_counts(runs)
         levels = np.zeros(len(values), np.uint8)
         told = dict(zip(answers.column("bucket").to_pylist(), answers.column("levels").to_pylist(), strict=True))
         for b, at, _ in blobs.by_bucket(values, n_buckets):
             levels[at] = blobs.unpack_small(told[b])
         metas, datas, local = [], [], []
-        for data, (grams, anchor, first, last, text), places, origin, lengths, base, spans in chunk.runs():
+        for data, (grams, anchor, first, last, text), places, origin, lengths, base, spans in runs:
             local.append(np.stack([places[spans[:, 0]], spans[:, 1] - origin[spans[:, 0]] + base, spans[:, 2] - origin[spans[:, 0]] + base, np.ones(len(spans), np.int64)], axis=1))
             value = grams >> blobs.HASH_SHIFT
             level = levels[np.searchsorted(values, value)].astype(np.int64) if len(values) else np.zeros(0, np.int64)
