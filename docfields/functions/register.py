@@ -1,7 +1,8 @@
 """The library's expressions under names in SQL: scalar functions and a table function, as SQL functions of the session.
 
 A function's body is the SQL of the same column expression that plans built in Python use, so it is inlined where it
-is called, stays in the JVM and is optimised with the query around it.
+is called, stays in the JVM and is optimised with the query around it. The expression's SQL is had from a session in the
+driver's own JVM, not over Spark Connect.
 """
 
 from __future__ import annotations

@@ -39,6 +39,16 @@ def selection(results: DataFrame) -> DataFrame:
     return results.crossJoin(F.broadcast(some)).where("is_selected OR _any = 0").drop("_any")  # one row broadcast
 
 
+def chosen(results: DataFrame) -> DataFrame:
+    """The selected rows only, none if none is; a null flag isn't a selection."""
+    return results.where("is_selected")
+
+
+def to_retry(results: DataFrame) -> DataFrame:
+    """The rows that failed, to be tried again; incomplete ones were read and stay."""
+    return results.where("has_error")
+
+
 def confidence_bucket(c: Column) -> Column:
     return F.when(c >= 0.75, "high").when(c >= 0.40, "medium").otherwise("low")
 

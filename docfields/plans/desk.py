@@ -244,13 +244,13 @@ def q_banner(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT invoice_id, bool_or(has_error) OVER () AS any_error FROM ({_RESULTS}) WHERE has_error")
 def q_retry_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows to try again."""
-    return _results(spark, sf_dir).where("has_error").select("invoice_id", F.lit(True).alias("any_error"))
+    return results.to_retry(_results(spark, sf_dir)).select("invoice_id", F.lit(True).alias("any_error"))
 
 
 @query(f"SELECT invoice_id FROM ({_RESULTS}) WHERE is_selected")
 def q_selected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files that are selected."""
-    return _results(spark, sf_dir).where("is_selected").select("invoice_id")
+    return results.chosen(_results(spark, sf_dir)).select("invoice_id")
 
 
 @query("SELECT o_orderstatus AS name, count(*) FILTER (o_totalprice > 100000) AS passed, count(*) AS total, round(count(*) FILTER (o_totalprice > 100000) * 100.0::DOUBLE / count(*), 6) AS percent FROM orders GROUP BY 1")
