@@ -31,6 +31,16 @@ def _empty(name: str) -> Column:
     return F.coalesce(F.length(F.col(name)), F.lit(0)) == 0
 
 
+def tenths_text(x: Column) -> Column:
+    """A double of 0 or more to one decimal, by its exact binary value, half to even (as C's %.1f does). The bound between two
+    tenths is an odd m / 20; 16 x and m - 16 x are exact, so 4 x lies above or below it just as x does."""
+    m = F.rint(x * 20.0)
+    low = F.floor(m / 2.0)
+    over, bound = x * 4.0, m - x * 16.0
+    tenths = low + F.when(m - low * 2 == 0, 0).when(over > bound, 1).when(over < bound, 0).otherwise(low % 2)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def issues() -> Column:
     """Messages about the eight fields, in fixed order: amounts if two of three are there, then what is missing."""
     return let(_parsed(try_decimal), _issues)
@@ -40,7 +50,7 @@ def _issues(parsed: Column) -> Column:
     ht, tva, taxe, ttc = (parsed[c] for c in lx.AMOUNTS)
     zero = _number("0")
     expected = ht + tva + F.coalesce(taxe, zero)
-    rate = tva / ht
+    rate = F.when(ht > zero, tva.cast("double") / ht.cast("double"))
     of_amounts = [
         F.when((ht == tva) & (ht > zero), F.lit("HT equals TVA (duplication error)")),
         F.when((ht == ttc) & (ht > zero), F.lit("HT equals TTC (duplication error)")),
@@ -50,7 +60,7 @@ def _issues(parsed: Column) -> Column:
         F.when(ttc < zero, F.lit("Negative TTC amount")),
         F.when(
             (ht > zero) & (tva > zero) & ((tva < ht * _number(LOWEST_RATE)) | (tva > ht * _number(HIGHEST_RATE))),
-            F.concat(F.lit("Unlikely VAT rate: "), F.bround(F.when(ht > zero, rate) * 100, 1).cast("decimal(38,1)").cast("string"), F.lit("%")),
+            F.concat(F.lit("Unlikely VAT rate: "), tenths_text(rate * 100.0), F.lit("%")),
         ),
         F.when(
             F.abs(expected - ttc) > _number(VALIDATION_GAP),

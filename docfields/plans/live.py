@@ -9,7 +9,7 @@ from docfields.functions import lexicon as lx
 from docfields.functions import collation, text
 from docfields.functions import geometry as g
 from docfields.functions.register import register
-from docfields.operators import bands, layout, results
+from docfields.operators import amounts, bands, layout, results
 from docfields.plans import fixtures, synth
 from docfields.plans.catalog import _CELLS, _PLAIN, _RESULTS, _ROWS, DOCS, LINES, NORM_LINES, _amount_sql, _reconciled, _results, _sql, _table, fields, query
 from docfields.plans.desk import _ASKED, _MACHINE, _ROUTE
@@ -254,3 +254,17 @@ def q_cluster_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = spark.sql(_SCATTERED.replace("{lineitem}", "{l}"), l=_table(spark, sf_dir, "lineitem"))
     lines = synth.boxed(flat.select("*", F.lit("t").alias("text"), F.lit(0.9).alias("confidence"), F.lit(0).alias("page_index"), F.lit(0).alias("line_index")))
     return layout.visual_rows(lines).select("invoice_id", "pos", "row_idx", "col_idx")
+
+
+# -- the rate that an issue tells
+
+_RATED = "SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,3)) AS ht, CAST(l_quantity * (l_partkey % 60) * 7 AS DECIMAL(18,3)) AS tva FROM {lineitem}"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN ht > 0 AND tva > 0 AND (tva < ht * 0.05 OR tva > ht * 0.30) THEN 'Unlikely VAT rate: ' || printf('%.1f', CAST(tva AS DOUBLE) / CAST(ht AS DOUBLE) * 100) || '%' END AS issue FROM ({_RATED.format(lineitem='lineitem')})")
+def q_vat_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of amounts whose rate is unlikely, the rate included."""
+    x = spark.sql(_RATED.replace("{lineitem}", "{l}"), l=_table(spark, sf_dir, "lineitem"))
+    told = x.select("l_orderkey", "l_linenumber", F.col("ht").cast("string").alias("montant_ht"), F.col("tva").cast("string").alias("montant_tva"), *[F.lit(None).cast("string").alias(c) for c in lx.FIELDS if c not in ("montant_ht", "montant_tva")])
+    rate = F.filter(amounts.issues(), lambda i: i.startswith("Unlikely VAT rate"))
+    return told.select("l_orderkey", "l_linenumber", F.get(rate, F.lit(0)).alias("issue"))

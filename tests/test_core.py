@@ -1,6 +1,7 @@
 """Column functions on cases, rules, and queries against their SQL."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,13 @@ def test_inline(spark):
     check(spark, [("Client nouvelle sarl", "ouvelle sarl")], lambda x: text.inline_value(F.lit("client"), x))
 
 
+def test_one_decimal_of_doubles(spark):
+    rng = random.Random(1)
+    xs = [k / 20 for k in range(2000)] + [k / 1000 for k in range(3000)] + [0.0145 * 100, 0.15, 0.35, 1e-12, 123456789.05, 1e10 + 0.25] + [rng.uniform(0, 200) for _ in range(2000)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", amounts.tenths_text(F.col("x")).alias("t")).collect()
+    assert [(r.x, r.t) for r in got] == [(x, f"{x:.1f}") for x in xs]
+
+
 RECONCILE = [
     (("1000", "200", None, None), ("1000", "200", None, "1200.000", ["montant_ttc"], False)),
     (("100", "20", None, "125"), ("100", "20", "5.000", "125", ["montant_taxe"], False)),
