@@ -53,6 +53,15 @@ def test_near_duplicates_by_row(spark):
     assert sorted(map(str, got)) == sorted(map(str, [(3, a), (5, b), *seven, (None, u), (9, v), (None, None), (None, None), (8, "")]))
 
 
+def test_near_duplicates_by_a_total_order(spark):
+    """Of rows equal in id and text the one whose other columns come first as JSON stays, however rows are dealt."""
+    rows = [(1, "a b c d e f", "fr", "web"), (1, "a b c d e f", "de", "web"), (1, "a b c d e f", "de", "news"), (2, "x y z u v w", None, "web"), (2, "x y z u v w", "en", None)]
+    for n in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(n)
+        got = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, "").collect()))
+        assert got == [(1, "a b c d e f", "de", "news"), (2, "x y z u v w", "en", None)]
+
+
 def test_short_and_nameless_items(spark):
     docs = spark.createDataFrame([(1, "so: What is A+B? yes"), (2, "what is a c"), (3, "somewhat is a b"), (4, "It held the nameless item of this benchmark."), (5, None), (6, "")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "What is a b?"), (None, "the nameless item of this benchmark"), (8, ""), (9, "?"), (None, None)], "item_id long, text string")
