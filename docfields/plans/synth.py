@@ -7,13 +7,24 @@ Amounts, labels and dates take turns so that every rule has cases on both sides.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfields.functions import geometry as g
 
+#: What an order and its customer give.
+BASE = """      SELECT o_orderkey AS k, 'DOC-' || CAST(o_orderkey AS STRING) AS invoice_id, o_orderkey % 5 AS lay, CAST(floor(o_orderkey / 5) AS BIGINT) % 3 AS lang,
+        year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, CAST(o_totalprice AS DECIMAL(18,3)) AS ht,
+        'SARL Moderne ' || CAST(o_orderkey % 97 AS STRING) AS supplier_text, c_name AS client_text,
+        substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 10) AS iso_date
+      FROM {orders} JOIN {customer} ON o_custkey = c_custkey
+"""
+
 #: One row per order: the truth and the texts as printed.
-DOCUMENTS = """
+DOCUMENTS = (
+    """
 SELECT k, invoice_id, lay, lang, number_text, date_text, iso_date, supplier_text, client_text, ht, tva, taxe, ttc,
   CASE lang WHEN 0 THEN replace(CAST(ht AS STRING), '.', ',') || ' TND' WHEN 1 THEN '$ ' || CAST(ht AS STRING) ELSE CAST(ht AS STRING) || ' €' END AS ht_text,
   CASE lang WHEN 0 THEN replace(CAST(tva AS STRING), '.', ',') || ' TND' WHEN 1 THEN '20% ' || CAST(tva AS STRING) ELSE CAST(tva AS STRING) || ' DT' END AS tva_text,
@@ -34,15 +45,13 @@ FROM (
       CASE k % 11 WHEN 0 THEN ht WHEN 1 THEN NULL ELSE CAST(ht * CASE k % 4 WHEN 0 THEN CAST(0.07 AS DECIMAL(3,2)) WHEN 1 THEN CAST(0.13 AS DECIMAL(3,2)) WHEN 2 THEN CAST(0.19 AS DECIMAL(3,2)) ELSE CAST(0.03 AS DECIMAL(3,2)) END AS DECIMAL(18,3)) END AS tva,
       CASE k % 3 WHEN 0 THEN CAST(1 AS DECIMAL(18,3)) WHEN 1 THEN CAST(0 AS DECIMAL(18,3)) ELSE NULL END AS taxe
     FROM (
-      SELECT o_orderkey AS k, 'DOC-' || CAST(o_orderkey AS STRING) AS invoice_id, o_orderkey % 5 AS lay, CAST(floor(o_orderkey / 5) AS BIGINT) % 3 AS lang,
-        year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, CAST(o_totalprice AS DECIMAL(18,3)) AS ht,
-        'SARL Moderne ' || CAST(o_orderkey % 97 AS STRING) AS supplier_text, c_name AS client_text,
-        substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 10) AS iso_date
-      FROM {orders} JOIN {customer} ON o_custkey = c_custkey
-    ) AS base
+"""
+    + BASE
+    + """    ) AS base
   ) AS priced
 ) AS totalled
 """
+)
 
 #: Its recognised lines: two per field, a decoy and a faint one; pos is their order.
 LINES = (
@@ -145,30 +154,80 @@ def duck(sql: str) -> str:
     return sql.format(**DUCK)
 
 
-def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The tables; orders are dealt out anew, as a small file of them is one task, and each makes many lines."""
-    found = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in DUCK}
-    return found | {"orders": found["orders"].repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey")}
+#: Labels as printed in each language.
+_LABELS = ("{number}|Date|Fournisseur|Client|Total HT|TVA|Timbre fiscal|Total TTC", "{number}|Invoice Date|Supplier|{client}|Subtotal|VAT|Stamp duty|Grand total", "{number}|Date de facturation|Émetteur|Destinataire|Montant HT|Montant TVA|Taxe|Net à payer")
+_VALUES = ("number_text", "date_text", "supplier_text", "client_text", "ht_text", "tva_text", "taxe_text", "ttc_text")
+
+
+def _made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Documents by the SQL. What orders and customers give is dealt out anew, as a small file of orders is one task and each
+    makes many lines; so the steps before and behind are compiled apart, each small enough for the JVM to compile in turn."""
+    base = spark.sql(BASE, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in DUCK})
+    return spark.sql(sql.replace(f"(\n{BASE}    )", "{base}"), base=base.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k"))
+
+
+def _printed(docs: DataFrame, first: tuple[str, ...], client: str, lines: Callable[[int], tuple[str, str, str, str]]) -> DataFrame:
+    """The lines that LINES and INVOICE_LINES state, as an array a document: a line's place, page and confidence are those of
+    its number, so only its text is left to work out. A join with the numbers is one piece of code too large for the JVM to compile.
+
+    first: what the number's label is in each language; client: the client's in English; lines: x1, y1, height and page of a line's number."""
+    labels = [own.replace("{client}", client).split("|") for own in _LABELS]
+
+    def text(n: int) -> str:
+        if n >= 16:
+            return "'tache'" if n == 17 else "'123 rue de Tunis, 1000, Tunis'"
+        value = _VALUES[n // 2]
+        label = "CASE lang " + " ".join(f"WHEN {i} THEN {said}" for i, said in enumerate(first if n < 2 else [f"'{own[n // 2]}'" for own in labels])) + " END"
+        return f"CASE WHEN lay = 1 THEN {label} || ' : ' || {value} WHEN {value} IS NOT NULL THEN {label} END" if n % 2 == 0 else f"CASE WHEN lay <> 1 THEN {value} END"
+
+    def line(n: int) -> str:
+        x1, y1, high, page = lines(n)
+        sure = "CAST(0.2 AS DOUBLE)" if n == 17 else f"CASE WHEN (k + {n}) % 23 = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST({0.9 if n % 2 else 0.95} AS DOUBLE) END"
+        return f"named_struct('pos', {n}, 'text', {text(n)}, 'x1', {x1}, 'y1', {y1}, 'high', {high}, 'confidence', {sure}, 'page_index', {page})"
+
+    l = docs.select("invoice_id", F.expr(f"explode(filter(array({', '.join(map(line, range(18)))}), l -> l.text IS NOT NULL))").alias("l"))
+    return l.selectExpr(
+        "invoice_id", "l.pos", "l.text", *[f"CAST({v} AS DOUBLE) AS {c}" for v, c in (("l.x1", "x1"), ("l.y1", "y1"), ("l.x1 + 80", "x2"), ("l.y1 + l.high", "y2"))],
+        "l.confidence", "l.page_index", "l.pos AS line_index",
+    )
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """invoice_id, the printed texts and the truth."""
-    return spark.sql(DOCUMENTS, **_tables(spark, sf_dir))
+    return _made(spark, sf_dir, DOCUMENTS)
 
 
 def flat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with their box in four columns."""
-    return spark.sql(LINES, **_tables(spark, sf_dir))
+    """LINES: lines with their box in four columns."""
+
+    def line(n: int) -> tuple[str, str, str, str]:
+        odd = n % 2 == 1 and n < 16
+        at = 20 + 50 * (n // 2)
+        return "CASE lay WHEN 2 THEN 10 WHEN 3 THEN 170 WHEN 4 THEN 390 ELSE 100 END" if odd else "10", f"CASE lay WHEN 2 THEN {at + 20} ELSE {at} END" if odd else f"{at}", "15", "0"
+
+    return _printed(documents(spark, sf_dir), ("'N° Facture'", "'Invoice No'", "'Numéro de facture'"), "Bill to", line)
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts and values of the invoices whose extraction is known."""
-    return spark.sql(INVOICES, **_tables(spark, sf_dir))
+    return _made(spark, sf_dir, INVOICES)
 
 
 def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Their lines, as operators take them."""
-    return boxed(spark.sql(INVOICE_LINES, **_tables(spark, sf_dir)))
+    """INVOICE_LINES, as operators take them."""
+
+    def line(n: int) -> tuple[str, str, str, str]:
+        if n >= 16:
+            return "10", "CASE WHEN k % 6 = 0 THEN 420 ELSE 900 END", "CASE lay WHEN 0 THEN 12 ELSE 15 END" if n % 2 else "15", "CASE lay WHEN 3 THEN 1 ELSE 0 END"
+        at, late = 20 + 50 * (n // 2), n >= 8
+        up = at - 200 if late else at
+        if n % 2 == 0:
+            return "10", f"CASE lay WHEN 3 THEN {up} ELSE {at} END", "15", f"CASE lay WHEN 3 THEN {int(late)} ELSE 0 END"
+        x1 = "CASE lay WHEN 2 THEN 10 WHEN 3 THEN 167 WHEN 4 THEN 250 ELSE 100 END"
+        return x1, f"CASE lay WHEN 0 THEN {at + 3} WHEN 2 THEN {at + 20} WHEN 3 THEN {up} ELSE {at} END", "CASE lay WHEN 0 THEN 12 ELSE 15 END", f"CASE lay WHEN 3 THEN {int(late)} ELSE 0 END"
+
+    number = ("'N° Facture'", "CASE lay WHEN 2 THEN 'Invoice Number' ELSE 'Order Number' END", "'Numéro de facture'")
+    return boxed(_printed(invoices(spark, sf_dir), number, "Customer", line))
 
 
 def boxed(lines: DataFrame) -> DataFrame:
