@@ -21,10 +21,9 @@ EXACT_DIGITS = 15
 
 def unfenced(reply: Column) -> Column:
     """A reply without the fence that may stand around it: ```json before, ``` behind."""
-    bare = F.trim(F.regexp_replace(reply, r"(?U)^\s+|\s+$", ""))
-    bare = F.when(bare.startswith("```json"), F.substr(bare, F.lit(8))).otherwise(bare)
-    bare = F.when(bare.endswith("```"), F.left(bare, F.length(bare) - 3)).otherwise(bare)
-    return F.regexp_replace(bare, r"(?U)^\s+|\s+$", "")
+    ends = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    # patterns, not conditions: within a function over arrays what a condition and its value share is worked out twice
+    return ends(F.regexp_replace(F.regexp_replace(F.trim(ends(reply)), r"\A```json", ""), r"```\z", ""))
 
 
 def float_text(number: Column, plain: Column) -> Column:
@@ -77,8 +76,10 @@ def _parsed(reply: Column, of) -> Column:
 
 
 def _row(texts: Column, problem: Column) -> Column:
-    """The eight fields and the problem as a struct; no field has a value where there is a problem."""
-    return let(problem, lambda p: F.struct(*[F.when(p.isNull(), F.get(texts, F.lit(i))).alias(f) for i, f in enumerate(lx.FIELDS)], p.alias("problem")))
+    """The eight fields and the problem as a struct; no field has a value where there is a problem. The texts are bound, as
+    each field would write all eight anew."""
+    row = lambda own, p: F.struct(*[F.get(own, F.lit(i)).alias(f) for i, f in enumerate(lx.FIELDS)], p.alias("problem"))
+    return let(problem, lambda p: let(F.when(p.isNull(), texts), lambda own: row(own, p)))
 
 
 def _first(names: Column, message: str) -> Column:

@@ -35,3 +35,18 @@ def test_features_as_single_expressions(spark):
     assert all((r.amount, r.as_date, r.words, r.plausible, r.plausible_number) == (r.amount_, r.date_, r.words_, r.plausible_, r.number_) for r in got.values())
     assert [got[t].amount for t in TEXTS[:3]] == ["1234.500", "12.500", "12500.500"]
     assert [got[t].as_date for t in TEXTS[3:7]] == [None, "2024-02-07", "2099-06-05", "0000-05-01"]
+
+
+def test_replies_are_written_once(spark):
+    """Each value of a reply is read once, not once for every field; fences and blanks as before."""
+    from docfields.sources.replies import client_fields, server_fields, unfenced
+
+    r = F.col("reply")
+    rows = [("```json\n{\"date\": \"1\"}\n```",), (" ```json```",), ("``",), ("x``` ",), ("```json {\"date\": 5}",), ("a ``` b",), (None,), ("``````",), ("```json```json{}``````",)]
+    replies = spark.createDataFrame(rows, "reply string")
+    assert [x.u for x in replies.select(unfenced(r).alias("u")).collect()] == ['{"date": "1"}', "", "``", "x", '{"date": 5}', "a ``` b", None, "```", "```json{}```"]
+    for fields, reads in ((client_fields, 9), (server_fields, 19)):  # 16 and 96 where each field wrote all of them
+        plan = replies.select(fields(r).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("variant_get") <= reads
+    got = [(x.f.date, x.f.problem) for x in replies.select(client_fields(r).alias("f")).collect()]
+    assert got[:5] == [("1", None), (None, "not JSON"), (None, "not JSON"), (None, "not JSON"), (None, "not a text: date")]
