@@ -124,7 +124,21 @@ def _whole(words: frozenset[str]) -> str:
     closed = frozenset(w for w in words if w[-1:].isalnum())
     ends = [_tree(closed) + "(?![a-z0-9_])"] if closed else []
     ends += [_tree(words - closed) + "(?=[a-z0-9_])"] if words - closed else []
-    return "(?<![a-z0-9_])(?:" + "|".join(ends) + ")"
+    return _begins(words) + "(?<![a-z0-9_])(?:" + "|".join(ends) + ")"
+
+
+def _begins(words: frozenset[str]) -> str:
+    """Looks ahead for a letter that one of the words begins with: a class of letters is told faster than what follows it here."""
+    return "(?=[" + "".join(_literal(c) for c in sorted({w[0] for w in words})) + "])"
+
+
+@cache
+def whole_labels() -> dict[tuple[str, ...], tuple[str, ...]]:
+    """The labels, by the fields that a text which is such a label has labels of."""
+    found: dict[tuple[str, ...], list[str]] = {}
+    for form in sorted({f for own in FIELDS for f in forms(own)}):
+        found.setdefault(tuple(f for f in FIELDS if re.search(label_regex(f), form, re.ASCII)), []).append(form)
+    return {fields: tuple(own) for fields, own in found.items() if fields}
 
 
 @cache
@@ -137,7 +151,8 @@ def label_tree(field: str | None = None) -> str:
 def any_label_tree() -> str:
     """The same as any_label_regex, for Java."""
     last = "(?<![a-z0-9_])(?:" + "|".join(LABEL_LAST) + r")(?![a-z0-9_])[.\s]*$"
-    return "|".join([_tree(frozenset(LABEL_PARTS)), _whole(frozenset(LABEL_WORDS)), last])
+    parts = frozenset(LABEL_PARTS)
+    return "|".join([_begins(parts) + _tree(parts), _whole(frozenset(LABEL_WORDS)), _begins(frozenset(LABEL_LAST)) + last])
 
 
 @cache
