@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -332,13 +331,13 @@ def q_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT sheet, invoice_id || '.pdf' AS file_name, coalesce(montant_tva, CASE sheet WHEN 'Résultats' THEN '[MISSING]' ELSE '' END) AS montant_tva, CASE WHEN has_error THEN '—' ELSE CAST(k % 101 AS VARCHAR) || '%' END AS confidence_text FROM ({_RESULTS}), (VALUES ('Résultats'), ('Extractions Incomplètes')) AS s(sheet) WHERE sheet = 'Résultats' OR is_incomplete")
 def q_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result rows written to a workbook, the later half appended to it, and read back."""
-    at = tempfile.mkdtemp(prefix="docfields-book-")  # the driver's: a workbook is written and read there
+    """Result rows written to workbooks, the later half appended to them, and read back."""
+    at = fixtures.folder(spark, "books")
     rows = _results(spark, sf_dir).withColumn("file_name", F.concat("invoice_id", F.lit(".pdf")))
-    sheets.export(rows.where("k % 2 = 0"), f"{at}/a.xlsx", mark_missing=True)
-    sheets.append(rows.where("k % 2 = 1"), f"{at}/a.xlsx", f"{at}/b.xlsx", sheet="résultats", mark_missing=True)
-    names = sheets.sheet_names(f"{at}/b.xlsx")
-    found = [sheets.frame(spark, f"{at}/b.xlsx", sheets.find_sheet(f"{at}/b.xlsx", n.upper())).withColumn("sheet", F.lit(n)) for n in names]
+    sheets.export(rows.where("k % 2 = 0"), f"{at}/a", mark_missing=True)
+    sheets.append(rows.where("k % 2 = 1"), f"{at}/a", f"{at}/b", sheet="résultats", mark_missing=True)
+    names = sheets.sheet_names(sheets.books(f"{at}/b")[0])
+    found = [sheets.frame(spark, f"{at}/b", n.upper()).withColumn("sheet", F.lit(n)) for n in names]
     return found[0].unionByName(found[1]).select("sheet", "file_name", "montant_tva", "confidence_text")
 
 
