@@ -15,8 +15,10 @@ from docfields.functions import lexicon as lx
 
 WIDE, EXACT = "decimal(38,10)", "decimal(28,3)"
 #: Runs of white space of any kind but the blank; spelled out, as a class of Unicode's properties is slow.
-ASCII_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 OTHER_SPACE = r"[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: From the first digit, or a minus with neither marks nor white space between, to the last digit before another minus.
+#: What isn't part of a number may stand within, as currencies do, so a text needn't be cleaned of it before.
+FIRST_NUMBER = rf"(?:-[^0123456789,.\- {OTHER_SPACE[1:-2]}]*+)?\d(?:[^\-]*\d)?"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -46,12 +48,10 @@ def extract_amount(text: Column, bind: Callable = lambda value, body: body(value
 
 def amount_digits(text: Column) -> Column:
     """The first number of a text with its marks, without blanks; empty or null if there is none."""
-    x = F.when(text.rlike("[0-9]"), F.when(F.octet_length(text) == F.length(text), F.translate(text, ASCII_SPACE, " " * len(ASCII_SPACE))).otherwise(F.regexp_replace(text, OTHER_SPACE, " ")))
-    # fixed values: currencies; percentages; what may be part of a number; a number
-    x = F.regexp_replace(x, r"TND|DT|[€$£]", "")
-    x = F.when(text.contains("%"), F.regexp_replace(x, r"-?\d[\d.,]*\s*%", "")).otherwise(x)
-    x = F.regexp_replace(x, r"[^0123456789,.\- ]+", "")
-    return F.replace(F.regexp_extract(x, r"(-?\d[\d\s.,]*\d|-?\d)", 1), F.lit(" "), F.lit(""))
+    # fixed values: currencies and percentages, which matter to one another; what may be part of a number
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, OTHER_SPACE, " "), r"TND|DT|[€$£]", ""), r"-?\d[\d.,]*\s*%", "")
+    x = F.when(text.rlike("[0-9]"), F.when(text.contains("%"), bare).otherwise(text))
+    return F.regexp_replace(F.regexp_extract(x, FIRST_NUMBER, 0), r"[^0123456789,.\-]+", "")
 
 
 def amount_of(x: Column) -> Column:

@@ -83,7 +83,7 @@ def q_strip_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _norm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.flat_lines(spark, sf_dir).select("invoice_id", "pos", "text", text.normalize_text(F.col("text")).alias("norm"))
+    return synth.texts(spark, sf_dir).select("invoice_id", "pos", "text", text.normalize_text(F.col("text")).alias("norm"))
 
 
 NORM_LINES = f"(SELECT invoice_id, pos, text, {_norm('text')} AS norm FROM ({LINES}))"
@@ -141,7 +141,7 @@ _PLAIN = """CASE WHEN contains(a, ',') AND contains(a, '.') THEN CASE WHEN instr
 
 @query(f"SELECT invoice_id, pos, CAST(try_cast({_PLAIN} AS DECIMAL(28,3)) AS VARCHAR) AS amount FROM (SELECT invoice_id, pos, nullif({_amount_sql('text')}, '') AS a FROM ({LINES}))")
 def q_extract_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.flat_lines(spark, sf_dir).select("invoice_id", "pos", parse.extract_amount(F.col("text")).alias("amount"))
+    return synth.texts(spark, sf_dir).select("invoice_id", "pos", parse.extract_amount(F.col("text")).alias("amount"))
 
 
 _MONTH_CASE = "CASE regexp_extract(n, '(\\d{1,2}) ([a-z]+) (\\d{4})', 2) " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(lx.MONTHS, 1)) + " END"

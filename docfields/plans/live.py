@@ -130,7 +130,7 @@ FROM {NORM_LINES} n JOIN (SELECT invoice_id, pos, nullif({_amount_sql('text')},
 def q_sql_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal form, amount and label of lines by the session's SQL functions."""
     register(spark)
-    return spark.sql("SELECT invoice_id, pos, normalize_text(text) AS norm, extract_amount(text) AS amount, looks_like_label(text) AS is_label FROM {lines}", lines=synth.flat_lines(spark, sf_dir))
+    return spark.sql("SELECT invoice_id, pos, normalize_text(text) AS norm, extract_amount(text) AS amount, looks_like_label(text) AS is_label FROM {lines}", lines=synth.texts(spark, sf_dir))
 
 
 @query("SELECT event_id, n AS pos, CASE n WHEN 0 THEN event_type ELSE 'b' END AS text, CASE n WHEN 0 THEN 0.9 ELSE 0.0 END::DOUBLE AS confidence, CASE n WHEN 0 THEN CAST(event_id % 50 + 10 AS DOUBLE) END AS x2 FROM events, (VALUES (0), (1)) AS v(n)")

@@ -156,6 +156,8 @@ def duck(sql: str) -> str:
 
 #: Labels as printed in each language.
 _LABELS = ("{number}|Date|Fournisseur|Client|Total HT|TVA|Timbre fiscal|Total TTC", "{number}|Invoice Date|Supplier|{client}|Subtotal|VAT|Stamp duty|Grand total", "{number}|Date de facturation|Émetteur|Destinataire|Montant HT|Montant TVA|Taxe|Net à payer")
+#: What the number's label is in each language, and the client's in English, in LINES.
+_NUMBER, _CLIENT = ("'N° Facture'", "'Invoice No'", "'Numéro de facture'"), "Bill to"
 _VALUES = ("number_text", "date_text", "supplier_text", "client_text", "ht_text", "tva_text", "taxe_text", "ttc_text")
 
 
@@ -167,19 +169,25 @@ def _made(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace(f"(\n{BASE}    )", "{base}"), base=base.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "invoice_id"))
 
 
+def _labels(first: tuple[str, ...], client: str) -> list[str]:
+    """Each field's label in a document's language."""
+    own = [said.replace("{client}", client).split("|") for said in _LABELS]
+    return ["CASE lang WHEN 0 THEN {} WHEN 1 THEN {} ELSE {} END".format(*(first if f == 0 else [f"'{x[f]}'" for x in own])) for f in range(len(_VALUES))]
+
+
 def _printed(docs: DataFrame, first: tuple[str, ...], client: str, lines: Callable[[int], tuple[str, str, str, str]]) -> DataFrame:
     """The lines that LINES and INVOICE_LINES state, as an array a document: a line's place, page and confidence are those of
     its number, so only its text is left to work out. A join with the numbers is one piece of code too large for the JVM to compile.
 
     first: what the number's label is in each language; client: the client's in English; lines: x1, y1, height and page of a line's number."""
-    labels = [own.replace("{client}", client).split("|") for own in _LABELS]
+    labels = _labels(first, client)
 
     def text(n: int) -> str:
         if n >= 16:
             return "'tache'" if n == 17 else "'123 rue de Tunis, 1000, Tunis'"
         value = _VALUES[n // 2]
-        label = "CASE lang " + " ".join(f"WHEN {i} THEN {said}" for i, said in enumerate(first if n < 2 else [f"'{own[n // 2]}'" for own in labels])) + " END"
-        return f"CASE WHEN lay = 1 THEN {label} || ' : ' || {value} WHEN {value} IS NOT NULL THEN {label} END" if n % 2 == 0 else f"CASE WHEN lay <> 1 THEN {value} END"
+        label = labels[n // 2]
+        return f"CASE WHEN lay = 1 THEN {label} || ' : ' || {value} WHEN {value} IS NOT NULL THEN {label} END" if n % 2 == 0 else f"CASE WHEN lay = 1 THEN NULL ELSE {value} END"
 
     def line(n: int) -> str:
         x1, y1, high, page = lines(n)
@@ -206,7 +214,21 @@ def flat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         at = 20 + 50 * (n // 2)
         return "CASE lay WHEN 2 THEN 10 WHEN 3 THEN 170 WHEN 4 THEN 390 ELSE 100 END" if odd else "10", f"CASE lay WHEN 2 THEN {at + 20} ELSE {at} END" if odd else f"{at}", "15", "0"
 
-    return _printed(documents(spark, sf_dir), ("'N° Facture'", "'Invoice No'", "'Numéro de facture'"), "Bill to", line)
+    return _printed(documents(spark, sf_dir), _NUMBER, _CLIENT, line)
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LINES without boxes: invoice_id, pos, text. A document is taken apart by UNPIVOT, which is compiled, as what
+    reads the lines then is too; a generator's array is interpreted. For queries that read no box."""
+    own = [f"{label} AS label_{f}" for f, label in enumerate(_labels(_NUMBER, _CLIENT))]
+    docs = documents(spark, sf_dir).selectExpr(
+        "invoice_id", "lay", *_VALUES, *own, "CAST(NULL AS STRING) AS bare", "'123 rue de Tunis, 1000, Tunis' AS address", "'tache' AS faint", *[f"{n} AS n{n}" for n in range(18)]
+    )
+    places = [f"(n{n}, {'bare' if n % 2 else f'label_{n // 2}'}, {_VALUES[n // 2]})" for n in range(16)] + ["(n16, bare, address)", "(n17, bare, faint)"]
+    lines = spark.sql(f"SELECT * FROM {{docs}} UNPIVOT INCLUDE NULLS ((pos, label, val) FOR place IN ({', '.join(places)}))", docs=docs)
+    return lines.where("val IS NOT NULL AND (pos >= 16 OR label IS NOT NULL OR NOT lay <=> 1)").selectExpr(
+        "invoice_id", "pos", "CASE WHEN label IS NULL THEN val WHEN lay = 1 THEN label || ' : ' || val ELSE label END AS text"
+    )
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
