@@ -16,7 +16,7 @@ from docfields.plans.desk import _ASKED, _MACHINE, _ROUTE
 from docfields.sinks import ordered
 from docfields.sinks.kept import KeptTable
 from docfields.sources import breaker, pages
-from docfields.sources.replies import client_fields, server_fields
+from docfields.sources.replies import read_replies
 from docfields.streaming import standing
 
 
@@ -91,9 +91,9 @@ def q_typed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     replies = {form: F.concat(F.lit("```json\n{"), number, F.lit(f', {rest}, "montant_ttc": '), value, F.lit("}\n``` ")) for form, value in ttc.items()}
     replies |= {"part": F.concat(F.lit("{"), number, F.lit("}")), "list": F.concat(F.lit("["), k, F.lit("]")), "words": F.lit("no fields here")}
     told = F.explode(F.array(*[F.struct(F.lit(f).alias("form"), replies[f].alias("reply")) for f in _FORMS]))
-    x = d.withColumn("r", told).withColumn("c", client_fields(F.col("r.reply"))).withColumn("s", server_fields(F.col("r.reply")))
+    x = read_replies(d.select("invoice_id", told.alias("r")).select("invoice_id", "r.form", "r.reply"), "reply", "c", "s")
     return x.select(
-        "invoice_id", "r.form", F.col("c.numero_facture").alias("client_number"), F.col("c.montant_ttc").alias("client_ttc"), F.col("c.problem").alias("client_problem"),
+        "invoice_id", "form", F.col("c.numero_facture").alias("client_number"), F.col("c.montant_ttc").alias("client_ttc"), F.col("c.problem").alias("client_problem"),
         F.col("s.montant_ttc").alias("server_ttc"), F.col("s.numero_facture").alias("server_number"), F.col("s.problem").alias("server_problem"),
     )
 

@@ -7,7 +7,7 @@ to be there. A problem is a value of the row, not an exception.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docfields.functions import lexicon as lx
@@ -17,6 +17,10 @@ from docfields.functions.parse import let
 NOT_JSON, NOT_OBJECT, NOT_TEXT, NO_KEY = "not JSON", "not an object", "not a text: ", "missing: "
 #: Digits that a double keeps, so that a shorter decimal is written as it is.
 EXACT_DIGITS = 15
+#: What the pattern (?U)\\s stands for.
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: The fence that may stand around a reply.
+FENCE, FENCE_END = "```json", "```"
 
 
 def unfenced(reply: Column) -> Column:
@@ -112,3 +116,34 @@ def server_fields(reply: Column) -> Column:
 
 def _names() -> Column:
     return F.array(*[F.lit(f) for f in lx.FIELDS])
+
+
+def read_replies(replies: DataFrame, reply: str, client: str = "client", server: str = "server") -> DataFrame:
+    """Adds two structs to replies: client_fields and server_fields of the column reply. For many replies: each is parsed
+    once for both, and what they read are columns, a step each, which are compiled; only a number with a fraction is written by a
+    function over arrays."""
+    told, bare, v = F.col("_told"), F.col("_bare"), F.col("_v")
+    own = list(enumerate(lx.FIELDS))
+    x = replies.withColumn("_told", F.btrim(reply, F.lit(BLANKS))).withColumn("_told", F.when(told.startswith(FENCE), F.substr(told, F.lit(len(FENCE) + 1))).otherwise(told))
+    x = x.withColumn("_bare", F.btrim(F.when(told.endswith(FENCE_END), F.left(told, F.length(told) - len(FENCE_END))).otherwise(told), F.lit(BLANKS)))
+    # a failure to parse raises within, so what can't begin a value isn't tried
+    begins = F.left(bare, F.lit(1)).isin(*'{["-0123456789') | bare.startswith("null") | bare.startswith("true") | bare.startswith("false")
+    x = x.withColumn("_v", F.when(begins, F.try_parse_json(bare)))
+    x = x.withColumns({f"_v{i}": F.try_variant_get(v, f"$.{f}", "variant") for i, f in own})
+    x = x.withColumns({f"_k{i}": F.schema_of_variant(F.col(f"_v{i}")) for i, _ in own} | {f"_t{i}": F.try_variant_get(F.col(f"_v{i}"), "$", "string") for i, _ in own})
+    kinds, texts = [F.col(f"_k{i}") for i, _ in own], [F.col(f"_t{i}") for i, _ in own]
+    wrong = F.when(v.isNull(), NOT_JSON).when(~bare.startswith("{"), NOT_OBJECT)  # what parses and begins so is an object
+    odd = [F.when(~k.isin("STRING", "VOID"), F.lit(NOT_TEXT + f)) for k, f in zip(kinds, lx.FIELDS, strict=True)]
+    absent = [F.when(k.isNull(), F.lit(NO_KEY + f)) for k, f in zip(kinds, lx.FIELDS, strict=True)]
+    x = x.withColumns({"_odd": F.coalesce(wrong, *odd), "_absent": F.coalesce(wrong, *absent)})
+
+    def written(i: int) -> Column:
+        k, t = kinds[i], texts[i]
+        number = let(F.struct(F.col(f"_v{i}").alias("v"), k.alias("k")), lambda p: value_text(p["v"], p["k"]))
+        # a short decimal of 1 or more is its own text
+        plain = k.startswith("DECIMAL") & (F.length(t) <= EXACT_DIGITS) & t.contains(".") & ~t.startswith("0") & ~t.startswith("-0")
+        return F.when(k.isin("STRING", "VOID", "BIGINT") | plain, t).when((k == "DOUBLE") | k.startswith("DECIMAL"), number).when(k == "BOOLEAN", F.initcap(t)).otherwise(t)
+
+    row = lambda values, problem: F.struct(*[F.when(problem.isNull(), t).alias(f) for f, t in zip(lx.FIELDS, values, strict=True)], problem.alias("problem"))
+    x = x.withColumns({client: row(texts, F.col("_odd")), server: row([written(i) for i, _ in own], F.col("_absent"))})
+    return x.drop("_told", "_bare", "_v", "_odd", "_absent", *[f"_{c}{i}" for c in "vkt" for i, _ in own])
