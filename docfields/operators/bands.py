@@ -4,6 +4,9 @@ A label's candidates stand to its right in its row, in the four rows below, or,
 above. In a long document labels and lines meet by buckets that are as wide as the reach: of x within a row, and of rows;
 a label looks into two neighbouring ones, and every pair meets in one of them only. So a document is spread over tasks
 by its buckets, and nothing holds all its lines.
+
+Documents that are gathered already (layout.documents) need no join: a long one is cut into bands of rows, each with the rows in
+reach of it, so that what a label looks into is small and no line is exchanged or written.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from docfields.functions import lexicon as lx
 LONG_LINES = 2_000
 RIGHT, BELOW, ABOVE = 1, 2, 3
 REACH = lx.LOOKAHEAD_ROWS
+#: Rows of a band that a long gathered document is cut into.
+BAND_ROWS = 4 * REACH
 OUT = ("invoice_id", "anchor", "pos", "phase", "score")
 
 
@@ -90,3 +95,32 @@ def candidates(lines: DataFrame, long_lines: int = LONG_LINES) -> DataFrame:
     long = x.join(sizes.where("_long").select("invoice_id"), "invoice_id", "left_semi")
     short = x.join(sizes.where("NOT _long").select("invoice_id"), "invoice_id", "left_semi")
     return _by_buckets(long).unionByName(_by_array(short)).select(*OUT)
+
+
+def candidates_of(docs: DataFrame, long_lines: int = LONG_LINES) -> DataFrame:
+    """candidates() of layout.documents with is_anchor and fits among the columns of a line.
+
+    Documents of over long_lines lines are cut into bands of rows, others looked at as they are; both give the same. A label is a row
+    with the rows in its reach, and its pairs are rows too, so that their conditions and scores are compiled."""
+    size = F.aggregate("rows", F.lit(0), lambda n, row: n + F.size(row))
+    last = F.floor((F.size("rows") - 1) / BAND_ROWS).cast("int")
+    # a band: its first row, how many rows are its own, and the rows from REACH above to REACH below these
+    cut = lambda b: F.struct((b * BAND_ROWS).alias("at"), F.lit(BAND_ROWS).alias("n"), F.greatest(b * BAND_ROWS - REACH, F.lit(0)).alias("top"), F.slice("rows", F.greatest(b * BAND_ROWS - REACH, F.lit(0)) + 1, F.lit(BAND_ROWS + 2 * REACH)).alias("rows"))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.size("rows").alias("n"), F.lit(0).alias("top"), F.col("rows")))
+    bands = docs.where(F.size("rows") > 0).select("invoice_id", F.explode(F.when(size > long_lines, F.transform(F.sequence(F.lit(0), last), cut)).otherwise(whole)).alias("b"))
+    bands = bands.select("invoice_id", "b.top", "b.rows", F.slice("b.rows", F.col("b.at") - F.col("b.top") + 1, F.col("b.n")).alias("own"))
+    boxed = lambda x: x["box"]["x1"].isNotNull() & x["box"]["x2"].isNotNull() & x["box"]["y1"].isNotNull() & x["box"]["y2"].isNotNull()
+    fitting = F.transform("rows", lambda row: F.filter(row, lambda x: x["fits"] & boxed(x)))
+    labels = bands.select("invoice_id", "top", fitting.alias("rows"), F.explode(F.filter(F.flatten("own"), lambda x: x["is_anchor"] & boxed(x))).alias("a"))
+    at = F.col("a.row_idx") - F.col("top")
+    near = labels.select(
+        "invoice_id", F.col("a.pos").alias("anchor"), F.col("a.row_idx").alias("r"), F.col("a.box").alias("a"),
+        F.flatten(F.slice("rows", at + 1, F.lit(REACH + 1))).alias("onward"), F.flatten(F.slice("rows", F.greatest(at - REACH, F.lit(0)) + 1, F.least(at, F.lit(REACH)))).alias("before"),
+    )
+    a = F.col("a")
+    met = F.exists("onward", lambda c: F.when(c["row_idx"] == F.col("r"), _is_right(a, c["box"], F.col("anchor") == c["pos"])).otherwise(_is_close(a, c["box"])))
+    pairs = near.select("invoice_id", "anchor", "r", "a", F.explode(F.when(met, F.col("onward")).otherwise(F.col("before"))).alias("c"))
+    c, steps = F.col("c.box"), F.col("c.row_idx") - F.col("r")
+    phase = F.when(steps == 0, F.when(_is_right(a, c, F.col("anchor") == F.col("c.pos")), RIGHT)).when(_is_close(a, c), F.when(steps > 0, BELOW).otherwise(ABOVE))
+    score = F.when(steps == 0, g.score_right(a, c, F.col("c.confidence"))).otherwise(g.score_below(a, c, F.col("c.confidence")))
+    return pairs.select("invoice_id", "anchor", F.col("c.pos").alias("pos"), phase.alias("phase"), score.alias("score")).where("phase IS NOT NULL").select(*OUT)

@@ -112,12 +112,11 @@ SELECT invoice_id, anchor, pos, phase, CAST(round(CASE phase WHEN 1 THEN 1000 -
 FROM (SELECT *, min(phase) OVER (PARTITION BY invoice_id, anchor) AS best FROM q WHERE phase IS NOT NULL) WHERE phase < 3 OR best = 3"""
 )
 def q_band_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines near each label; documents of over 16 lines by buckets, as long ones would be."""
-    norm = text.normalize_text(F.col("text"))
-    rows = layout.visual_rows(synth.ocr_lines(spark, sf_dir)).withColumn("_n", norm).withColumn("is_anchor", text.looks_like_label(F.col("_n"))).withColumn("fits", text.is_plausible(F.col("_n")))
-    at = f"{fixtures.folder(spark, 'flagged')}/lines"  # written once, as both kinds of documents and each phase read it
-    rows.select("invoice_id", "pos", "row_idx", "box", "confidence", "is_anchor", "fits").write.parquet(at)
-    return bands.candidates(spark.read.parquet(at), long_lines=16).withColumn("score", F.round("score", 6))
+    """Lines near each label; documents of over 16 lines by bands of rows, as long ones would be."""
+    lines = synth.ocr_lines(spark, sf_dir).withColumn("_n", text.normalize_text(F.col("text"))).withColumn("is_anchor", text.looks_like_label(F.col("_n")))
+    lines = lines.withColumn("fits", (F.length("_n") >= 2) & ~F.col("is_anchor")).drop("_n")
+    docs = layout.documents(lines, ("is_anchor", "fits"))  # gathered once, so no line is exchanged or written again
+    return bands.candidates_of(docs, long_lines=16).withColumn("score", F.round("score", 6))
 
 
 # -- functions of the session
